@@ -613,8 +613,8 @@ def reachable_pages(spark, sf):
 @query(
     "crawl_bfs",
     with_views("page_links", recursive=True, extra=_WALK)
-    + f"""SELECT p.url, min(depth) AS depth, {domain_sql('p.url')} AS domain
-FROM walk JOIN pages p ON p.page_id = walk.id GROUP BY p.url""",
+    + f"""SELECT regexp_replace(p.url, '#.*', '') AS url, min(depth) AS depth,
+  {domain_sql('p.url')} AS domain FROM walk JOIN pages p ON p.page_id = walk.id GROUP BY p.url""",
 )
 def crawl_bfs(spark, sf):
     pages = v.linked_pages(spark, sf)
@@ -623,14 +623,30 @@ def crawl_bfs(spark, sf):
     return state.nodes.select("url", "depth", "domain")
 
 
-@query("crawl_round")
+@query(
+    "crawl_round",
+    with_views("page_links", "blocklist", "rules")
+    + f""", p AS (SELECT page_id, regexp_replace(url, '#.*', '') AS url FROM pages),
+got AS (SELECT p.* FROM p WHERE NOT starts_with(url, 'https') AND NOT EXISTS (SELECT 1 FROM rules r
+  WHERE r.path = '/en' AND r.origin = {origin_sql('p.url')}
+  AND starts_with(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en')))
+SELECT 'node' AS kind, url, 0 AS depth, parent FROM (SELECT url, NULL::VARCHAR AS parent FROM got)
+UNION ALL SELECT 'frontier', url, 1, parent FROM
+  (SELECT d.url, got.url AS parent, row_number() OVER (PARTITION BY d.url ORDER BY got.page_id, l.dst) AS rn
+   FROM page_links l JOIN got ON got.page_id = l.src JOIN p d ON d.page_id = l.dst
+   WHERE starts_with(d.url, 'https') AND NOT EXISTS (SELECT 1 FROM blocklist b
+     WHERE {domain_sql('d.url')} = b.domain OR ends_with({domain_sql('d.url')}, '.' || b.domain)))
+  WHERE rn = 1""",
+)
 def crawl_round(spark, sf):
-    """One round over the whole frontier: which page links are added with all rules on."""
+    """One round from the plain-http pages with all rules on: new nodes and new frontier."""
     pages = v.linked_pages(spark, sf).withColumn("url", F.regexp_replace("url", "#.*", ""))
-    rules = cr.CrawlRules(
-        robots=fr.parse_robots(v.robots(spark, sf)), blocklist=v.blocklist(spark, sf)
+    robots = fr.parse_robots(v.robots(spark, sf)).filter("path = '/en'")
+    rules = cr.CrawlRules(robots=robots, blocklist=v.blocklist(spark, sf), max_pages=1 << 30)
+    seeds = pages.select(F.col("page_id").alias("id"), "url").filter(~F.startswith("url", F.lit("https")))
+    state = cr.expand_frontier(cr.start_state(spark, seeds), pages, rules, 0)
+    columns = ["url", "depth", "parent"]
+    return (
+        state.nodes.select(F.lit("node").alias("kind"), *columns)
+        .unionByName(state.frontier.select(F.lit("frontier").alias("kind"), *columns))
     )
-    state = cr.start_state(spark, pages.select("url"))
-    return cr.expand_frontier(state, pages, rules, 0).nodes.select("url", "depth", "popularity")
-
-

@@ -160,8 +160,8 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """One response per page: plain http pages redirect to their heap parent, the others
-    answer with a content type by their page number's parity chain."""
+    """One response per page: plain http pages redirect to their heap parent, urls with a
+    fragment fail, urls with a query are JSON and the others HTML."""
     source = pages(spark, sf)
     ups = source.select(F.col("page_id").alias("_up_"), F.col("url").alias("location"))
     plain = ~F.startswith("url", F.lit("https")) & F.col("location").isNotNull()
@@ -284,7 +284,8 @@ CTES = {
     generate_subscripts(regexp_extract_all(html, 'href=["'']([^"''#]+)', 1, 'i'), 1) - 1 AS pos
   FROM pages""",
     "links": f"""
-  SELECT page_id * 100000 + pos AS id, {origin_sql('url')} || href AS url,
+  SELECT page_id * 100000 + pos AS id, {origin_sql('url')} || array_to_string(list_transform(string_split(href, ''),
+      lambda c: CASE WHEN ord(c) > 126 THEN url_encode(c) ELSE c END), '') AS url,
     CAST(length(bin(page_id + 1)) AS INTEGER) AS depth, url AS parent FROM hrefs""",
     "frontier": """
   SELECT id, url, depth, parent FROM links

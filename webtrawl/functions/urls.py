@@ -6,8 +6,12 @@ All of it stays inside the JVM; a malformed URL gives an empty host, never an er
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-_BAD_HOST = r"[\x00-\x20\x7f<>@\[\]\\^|%]"
+from webtrawl.functions.resolve import resolve_refs
+
+# A host ends at a path, port, query, fragment or the end; other characters make it invalid.
+_HOST_CHARS = r"[^/:?#\x00-\x20\x7f<>@\[\]\\^|%]+"
+HOST_PATTERN = rf"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?({_HOST_CHARS})(?=[/:?#]|$)"
+_ORIGIN = rf"^([A-Za-z][A-Za-z0-9+.-]*://)(?:[^/?#@]*@)?({_HOST_CHARS}(?::\d+)?)(?=[/?#]|:?$|:/)"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 
 
@@ -17,8 +21,7 @@ def _col(value) -> Column:
 
 def get_host(url) -> Column:
     """Lower-case host without port or user info; '' when the URL is not valid."""
-    host = F.lower(F.regexp_extract(_col(url), HOST_PATTERN, 1))
-    return F.coalesce(F.when(host.rlike(_BAD_HOST), "").otherwise(host), F.lit(""))
+    return F.lower(F.regexp_extract(F.coalesce(_col(url), F.lit("")), HOST_PATTERN, 1))
 
 
 def strip_www(host) -> Column:
@@ -36,13 +39,11 @@ def get_scheme(url) -> Column:
 
 def get_origin(url) -> Column:
     """Scheme, host and any non-default port; '' when the URL is not valid."""
-    url = _col(url)
-    scheme = get_scheme(url)
-    host = get_host(url)
-    port = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]+:(\d+)", 1)
-    default = F.when(scheme == "http", "80").when(scheme == "https", "443").otherwise("")
-    suffix = F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port))
-    return F.when(host == "", "").otherwise(F.concat(scheme, F.lit("://"), host, suffix))
+    url = F.coalesce(_col(url), F.lit(""))
+    whole = F.lower(
+        F.concat(F.regexp_extract(url, _ORIGIN, 1), F.regexp_extract(url, _ORIGIN, 2))
+    )
+    return F.regexp_replace(whole, "^(http://[^:]*):80$|^(https://[^:]*):443$", "$1$2")
 
 
 def get_path(url) -> Column:
@@ -88,131 +89,25 @@ def domain_partition(url, partitions: int = 6) -> Column:
 
 # ---------------------------------------------------------------- reference resolution
 
-
-def _encode(text: Column, also: str) -> Column:
-    """Percent-encode blanks, controls, non-ASCII and the characters in ``also``."""
-    illegal = rf"[^\x21-\x7e]|[{also}]"
-    one = lambda c: (
-        F.when(c == " ", "%20").when(c.rlike(illegal), F.url_encode(c)).otherwise(c)
-    )
-    encoded = F.array_join(F.transform(F.split(text, ""), one), "")
-    return F.when(text.rlike(illegal), encoded).otherwise(text)
-
-
-def _remove_dot_segments(path: Column) -> Column:
-    """Apply ``.`` and ``..`` segments (also written ``%2e``) to an absolute path."""
-    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
-    plain = F.transform(
-        parts,
-        lambda s: F.when(s.rlike(r"(?i)^(\.|%2e)$"), ".")
-        .when(s.rlike(r"(?i)^(\.|%2e){2}$"), "..")
-        .otherwise(s),
-    )
-    stack = F.aggregate(
-        plain,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    # A trailing dot segment leaves a directory, so the path keeps its final slash.
-    tail = F.when(
-        path.rlike(r"(?i)/(\.|%2e){1,2}$") & (F.size(stack) > 0), "/"
-    ).otherwise("")
-    clean = F.concat(F.lit("/"), F.array_join(stack, "/"), tail)
-    return F.when(path.rlike(r"(?i)/(\.|%2e)"), clean).otherwise(path)
+# References that need no rewriting: a clean path from the root, or a clean absolute URL
+# with a path, both without dot segments.
+_CLEAN = r"(?!.*/(\.|%2[eE]))[A-Za-z0-9_~!$&()*+,;=:@%/.-]*(\?[A-Za-z0-9_~!$&()*+,;=:@%/.?-]*)?$"
+_CLEAN_ROOTED = rf"^/(?!/){_CLEAN}"
+_CLEAN_ABSOLUTE = rf"^https?://[a-z0-9._-]+(?=/){_CLEAN}"
 
 
-def with_resolved_url(df: DataFrame, base, ref, out: str = "link") -> DataFrame:
+def with_resolved_url(df: DataFrame, base: str, ref: str, out: str = "link") -> DataFrame:
     """Add ``out``: the absolute http(s) URL that ``ref`` names on the page ``base``.
 
-    Null when the reference is not valid or leads to another scheme. Works in stages so
-    that each intermediate column is computed once per row.
+    Null when the reference is not valid or leads to another scheme. Clean references, the
+    common case, are put together in the JVM; only the others are handed to Python, in Arrow
+    batches.
     """
-    b = "_base_"
-    r = "_ref_"
-    url_parts = r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?"
-    trimmed = F.regexp_replace(_col(ref), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
-    df = (
-        df.withColumn(b, _col(base))
-        .withColumn(r, trimmed)
-        .withColumn("_scheme_", get_scheme(r))
-        .withColumn("_bscheme_", get_scheme(b))
-    )
-    has_scheme = F.col("_scheme_") != ""
-    after = F.regexp_replace(F.col(r), _SCHEME, "")
-    same_relative = (F.col("_scheme_") == F.col("_bscheme_")) & ~after.rlike(r"^[/\\]")
-    df = df.withColumn(r, F.when(has_scheme & same_relative, after).otherwise(F.col(r))).withColumn(
-        "_scheme_", F.when(has_scheme & same_relative, "").otherwise(F.col("_scheme_"))
-    )
-    rel = F.col(r)
-    base_auth = F.regexp_extract(b, url_parts, 1)
-    base_path = F.regexp_replace(F.regexp_extract(b, url_parts, 2), r"\\", "/")
-    base_query = F.regexp_extract(b, url_parts, 3)
-    absolute = F.col("_scheme_") != ""
-    network = rel.rlike(r"^[/\\]{2}")
-    rooted = rel.rlike(r"^[/\\]")
-    rel_path = F.regexp_replace(F.regexp_extract(rel, r"^([^?#]*)", 1), r"\\", "/")
-    rel_query = F.regexp_extract(rel, r"^[^?#]*(\?[^#]*)", 1)
-    rel_fragment = F.regexp_extract(rel, r"^[^#]*(#.*)$", 1)
-    directory = F.regexp_replace(base_path, r"[^/]*$", "")
-    net_parts = r"^[/\\]*([^/\\?#]*)([^?#]*)"
-    df = (
-        df.withColumn("_proto_", F.when(absolute, F.col("_scheme_")).otherwise(F.col("_bscheme_")))
-        .withColumn(
-            "_auth_",
-            F.when(absolute, F.regexp_extract(rel, url_parts, 1))
-            .when(network, F.regexp_extract(rel, net_parts, 1))
-            .otherwise(base_auth),
-        )
-        .withColumn(
-            "_path_",
-            F.when(absolute, F.regexp_replace(F.regexp_extract(rel, url_parts, 2), r"\\", "/"))
-            .when(network, F.regexp_replace(F.regexp_extract(rel, net_parts, 2), r"\\", "/"))
-            .when(rooted, rel_path)
-            .when(rel_path == "", F.when(base_path == "", "/").otherwise(base_path))
-            .otherwise(
-                F.concat(F.when(directory == "", "/").otherwise(directory), rel_path)
-            ),
-        )
-        .withColumn(
-            "_query_",
-            F.when(absolute | network | (rel_path != "") | (rel_query != ""), rel_query).otherwise(
-                base_query
-            ),
-        )
-        .withColumn("_fragment_", rel_fragment)
-    )
-    auth = F.col("_auth_")
-    user = F.regexp_extract(auth, r"^(.*@)", 1)
-    host_port = F.regexp_replace(auth, r"^.*@", "")
-    port = F.regexp_extract(host_port, r":(\d*)$", 1)
-    host = F.lower(F.regexp_replace(host_port, r":\d*$", ""))
-    default = F.when(F.col("_proto_") == "http", "80").otherwise("443")
-    number = F.regexp_replace(port, r"^0+(?=\d)", "")
-    valid = (
-        F.col("_proto_").isin("http", "https")
-        & (host != "")
-        & ~host.rlike(r"[\x00-\x20\x7f<>@:\[\]\\^|%]")
-        & (F.length(number) <= 5)
-        & (F.coalesce(number.try_cast("int"), F.lit(0)) <= 65535)
-    )
-    shown_port = F.when((number == "") | (number == default), "").otherwise(
-        F.concat(F.lit(":"), number)
-    )
-    df = df.withColumn(
-        "_path_", F.when(F.col("_path_") == "", "/").otherwise(F.col("_path_"))
-    ).withColumn("_path_", _remove_dot_segments(F.col("_path_")))
-    whole = F.concat(
-        F.col("_proto_"),
-        F.lit("://"),
-        F.when(user == "@", "").otherwise(user),
-        host,
-        shown_port,
-        _encode(F.col("_path_"), "\"<>`{}^"),
-        _encode(F.when(F.col("_query_") == "?", "?").otherwise(F.col("_query_")), "\"'<>"),
-        _encode(F.col("_fragment_"), "\"<>`"),
-    )
-    return df.withColumn(out, F.when(valid, whole)).drop(
-        b, r, "_scheme_", "_bscheme_", "_proto_", "_auth_", "_path_", "_query_", "_fragment_"
-    )
+    origin = get_origin(base)
+    rooted = F.col(ref).rlike(_CLEAN_ROOTED) & (origin != "")
+    absolute = F.col(ref).rlike(_CLEAN_ABSOLUTE)
+    simple = F.when(rooted, F.concat(origin, F.col(ref))).when(absolute, F.col(ref))
+    staged = df.withColumn("_simple_", simple)
+    hard = F.when(F.col("_simple_").isNull(), F.col(ref))
+    resolved = F.coalesce("_simple_", resolve_refs(F.col(base), hard))
+    return staged.withColumn(out, resolved).drop("_simple_")

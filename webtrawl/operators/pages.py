@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from webtrawl.functions.html import META_CHARSET, first_text
 from webtrawl.functions.urls import _col, with_resolved_url
+from webtrawl.plans.staging import stage
 from webtrawl.settings import DOC_ID_LIMIT, MAX_BODY_BYTES, MAX_REDIRECTS
 
 
@@ -96,6 +97,7 @@ def follow_redirects(responses: DataFrame, max_hops: int = MAX_REDIRECTS) -> Dat
 
     ``responses`` has one row per url with status, content_type and location. A missing
     target is ``error:not fetched``; a redirect after ``max_hops`` hops is ``error:redirects``.
+    Each hop joins only the rows that still move; they are staged per hop.
     """
     base = responses.withColumn("_kind_", classify_response("status", "content_type", "location"))
     absolute = F.startswith("location", F.lit("http"))
@@ -107,6 +109,7 @@ def follow_redirects(responses: DataFrame, max_hops: int = MAX_REDIRECTS) -> Dat
     ).unionByName(
         resolved.select("url", F.col("_kind_").alias("kind"), F.col("_target_").alias("target"))
     )
+    table = stage(table, "responses")
     lookup = table.select(
         F.col("url").alias("_key_"), F.col("kind").alias("_next_kind_"),
         F.col("target").alias("_next_target_"),
@@ -122,14 +125,17 @@ def follow_redirects(responses: DataFrame, max_hops: int = MAX_REDIRECTS) -> Dat
         )
         done = settled if done is None else done.unionByName(settled)
         moving = moving.filter(F.col("kind") == "redirect")
-        if hop == max_hops:
+        if hop == max_hops or moving.isEmpty():
             break
-        moving = moving.join(lookup, moving["target"] == lookup["_key_"], "left").select(
-            "origUrl",
-            F.coalesce("target", "finalUrl").alias("finalUrl"),
-            F.coalesce("_next_kind_", F.lit("error:not fetched")).alias("kind"),
-            F.col("_next_target_").alias("target"),
-            F.lit(hop + 1).alias("hops"),
+        moving = stage(
+            moving.join(lookup, moving["target"] == lookup["_key_"], "left").select(
+                "origUrl",
+                F.coalesce("target", "finalUrl").alias("finalUrl"),
+                F.coalesce("_next_kind_", F.lit("error:not fetched")).alias("kind"),
+                F.col("_next_target_").alias("target"),
+                F.lit(hop + 1).alias("hops"),
+            ),
+            "redirects",
         )
     stuck = moving.select("origUrl", "finalUrl", "hops", F.lit("error:redirects").alias("outcome"))
     return done.unionByName(stuck)

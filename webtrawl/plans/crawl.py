@@ -1,8 +1,8 @@
 """Set-based crawl rounds over already fetched pages."""
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtrawl import schemas
@@ -16,23 +16,27 @@ from webtrawl.operators.frontier import (
     filter_domain_quota,
     filter_robots,
     polite_batch,
+    robots_blocked,
 )
 from webtrawl.operators.graph import domain_counts, top_domains, with_popularity
-from webtrawl.operators.tables import rows_to_insert
-from webtrawl.plans.ranking import ordered_ids
+from webtrawl.operators.tables import first_per_key
 from webtrawl.plans.staging import stage
 from webtrawl.settings import DOMAIN_MAX, MAX_DEPTH, MAX_FRONTIER, MAX_NODES, RECRAWL_DEPTH
 
 
 @dataclass(frozen=True)
 class CrawlState:
-    """Crawl tables. Every node url is also visited; each round only adds staged tables, so
-    the plans stay short. ``next_id`` is above every frontier id."""
+    """Crawl tables after ``rounds`` rounds. Every node url is also visited; a round only adds
+    staged tables, so the plans stay short.
+
+    The frontier ``id`` is an order key: the round, then the position of the finder, then
+    that of the link. It puts urls in order of discovery without numbering a whole table.
+    """
 
     nodes: DataFrame
     visited: DataFrame
     frontier: DataFrame
-    next_id: int
+    rounds: int = 0
 
 
 @dataclass(frozen=True)
@@ -49,15 +53,20 @@ class CrawlRules:
     cumulative_quota: bool = False
 
 
+def _order_key(round_no: int, *position: Column) -> Column:
+    return F.concat(F.lit(f"{round_no:04x}"), *position)
+
+
 def start_state(spark, seeds: DataFrame, nodes: DataFrame | None = None) -> CrawlState:
-    """A state whose frontier is the seeds at depth 0."""
+    """A state whose frontier is the seeds at depth 0, ordered by their BIGINT ``id`` if they
+    have one, else in a fixed arbitrary order."""
     nodes = nodes if nodes is not None else spark.createDataFrame([], schemas.NODES)
-    rows = seeds.select("url").distinct().select(
-        "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")
+    number = F.min("id") if "id" in seeds.columns else F.min(F.xxhash64("url"))
+    rows = seeds.groupBy("url").agg(F.lpad(F.hex(number), 16, "0").alias("_n_")).select(
+        _order_key(0, F.col("_n_")).alias("id"), "url", F.lit(0).alias("depth"),
+        F.lit(None).cast("string").alias("parent"),
     )
-    frontier = ordered_ids(rows, [F.col("url")]).select(*schemas.FRONTIER.names)
-    top = frontier.agg(F.max("id")).first()[0]
-    return CrawlState(nodes, nodes.select("url"), frontier, (top or 0) + 1)
+    return CrawlState(nodes, nodes.select("url"), stage(rows, "frontier"))
 
 
 def _without_domains(urls: DataFrame, blocked: DataFrame | None) -> DataFrame:
@@ -84,32 +93,27 @@ def expand_frontier(
     if rules.domain_limit is not None:
         batch = polite_batch(batch, None, rules.domain_limit, None)
 
-    known = pages.select(F.col("url"), F.col("html"))
-    fetched = parse_page(
-        batch.join(known, "url", "left").withColumn("hrefs", raw_links("html"))
-        .withColumn("found", F.col("html").isNotNull())
-    )
+    known = pages.select("url", "html")
+    looked_up = batch.join(known, "url", "left").withColumn("hrefs", raw_links("html"))
+    parsed = parse_page(looked_up.withColumn("found", F.col("html").isNotNull()))
+    fetched = with_popularity(parsed, top_domains(state.nodes))
+    if rules.robots is not None:
+        refused = robots_blocked(eligible, rules.robots).withColumn("found", F.lit(False))
+        fetched = fetched.unionByName(refused, allowMissingColumns=True)
     fetched = stage(fetched, "fetched")
+
     first_time = fetched.filter(F.col("depth") != RECRAWL_DEPTH)
-    stored = with_popularity(first_time.filter("found"), top_domains(state.nodes)).withColumn(
-        "crawled_at", F.lit(crawled_at).cast("long")
-    )
-    new_nodes = stage(stored.select(*schemas.NODES.names), "nodes")
-    nodes = state.nodes.unionByName(new_nodes)
-    done = first_time.select("url")
-    if rules.robots is not None:
-        done = done.unionByName(
-            eligible.select("url").join(allowed.select("url"), "url", "left_anti")
-        )
-    visited = state.visited.unionByName(stage(done, "visited"))
+    stored = first_time.filter("found").withColumn("crawled_at", F.lit(crawled_at).cast("long"))
+    nodes = state.nodes.unionByName(stored.select(*schemas.NODES.names))
+    visited = state.visited.unionByName(first_time.select("url"))
 
     hrefs = first_time.filter("found").select(
-        F.col("url").alias("page"), F.col("depth"), F.col("id").alias("page_id"),
-        F.posexplode("hrefs").alias("pos", "href"),
+        F.col("url").alias("page"), "depth", "id", F.posexplode("hrefs").alias("pos", "href")
     )
+    position = F.lpad(F.conv(F.col("pos").cast("string"), 10, 36), 4, "0")
+    key = _order_key(state.rounds + 1, F.substring(F.col("id"), F.lit(5), F.length("id")), position)
     links = with_resolved_url(hrefs, "page", "href", "url").filter(F.col("url").isNotNull()).select(
-        "url", (F.col("depth") + 1).alias("depth"), F.col("page").alias("parent"),
-        F.struct("page_id", "pos").alias("seq"),
+        key.alias("id"), "url", (F.col("depth") + 1).alias("depth"), F.col("page").alias("parent")
     )
     links = depth_filter(links, rules.max_depth)
     if rules.blocklist is not None:
@@ -117,22 +121,15 @@ def expand_frontier(
     links = _without_domains(links, rules.auto_blocked)
     counts = domain_counts(nodes)
     if rules.cumulative_quota:
-        links = admit_links(links, counts, "seq", rules.max_pages)
+        links = admit_links(links, counts, "id", rules.max_pages)
     else:
         links = filter_domain_quota(links, counts, rules.max_pages)
-    waiting = drop_visited(state.frontier, visited).filter(~again)
-    new = drop_visited(rows_to_insert(waiting, links, "url", ["seq"]), visited)
-    numbered = ordered_ids(new, [F.col("seq")]).select(
-        (F.col("id") + state.next_id).alias("id"), "url", "depth", "parent"
-    )
-    frontier = numbered
+    new = drop_visited(first_per_key(links, ["url"], ["id"]), visited)
     if rules.domain_limit is not None:
-        frontier = stage(waiting.unionByName(numbered), "frontier")
-    top = frontier.agg(F.max("id")).first()[0]
-    return replace(
-        state, nodes=nodes, visited=visited, frontier=frontier,
-        next_id=max(state.next_id, (top or 0) + 1),
-    )
+        waiting = drop_visited(state.frontier.filter(~again), visited)
+        new = waiting.unionByName(new.join(waiting.select("url"), "url", "left_anti").select(
+            *waiting.columns))
+    return CrawlState(nodes, visited, stage(new, "frontier"), state.rounds + 1)
 
 
 def crawl_bfs(
@@ -151,13 +148,11 @@ def crawl_bfs(
     """
     rules = rules or CrawlRules()
     state = start_state(pages.sparkSession, seeds)
-    round_no = 0
-    while max_rounds is None or round_no < max_rounds:
+    while max_rounds is None or state.rounds < max_rounds:
         waiting = state.frontier.count()
         if waiting == 0 or waiting > max_frontier or state.nodes.count() >= max_nodes:
             break
-        state = expand_frontier(state, pages, rules, started_at + round_no)
-        round_no += 1
+        state = expand_frontier(state, pages, rules, started_at + state.rounds)
     return state
 
 
