@@ -2,7 +2,7 @@
 
 
 def _load():
-    from webtrawl.catalog import page_queries  # noqa: F401
+    from webtrawl.catalog import event_queries, page_queries, search_queries  # noqa: F401
     from webtrawl.catalog.registry import QUERIES, SQL
 
     return QUERIES, SQL

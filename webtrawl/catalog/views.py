@@ -302,18 +302,18 @@ CTES = {
   SELECT DISTINCT {origin_sql('url')} AS origin,
     '/' || regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS path FROM pages""",
     "fetch_log": """
-  SELECT event_id AS attempt_id, epoch_ms(ts) AS ts_ms, ts,
+  SELECT event_id AS attempt_id, epoch_us(ts) // 1000 AS ts_ms, ts,
     'https://d' || user_id || '.example/p/' || event_id AS url,
     'd' || user_id || '.example' AS domain, event_type <> 'error' AS ok,
     CAST(round(value * 10) AS BIGINT) AS fetch_ms,
     CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events""",
     "requests": """
-  SELECT event_id AS request_id, epoch_ms(ts) AS ts_ms, ts, 'u' || user_id AS client,
+  SELECT event_id AS request_id, epoch_us(ts) // 1000 AS ts_ms, ts, 'u' || user_id AS client,
     event_type = 'view' AS is_search,
     CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'stats' ELSE 'page' END AS kind,
     CAST(round(value * 10) AS BIGINT) AS duration_ms FROM events""",
     "calls": """
-  SELECT 'svc' || (user_id % 8) AS name, event_id AS id, epoch_ms(ts) AS ts_ms,
+  SELECT 'svc' || (user_id % 8) AS name, event_id AS id, epoch_us(ts) // 1000 AS ts_ms,
     event_type <> 'error' AS ok FROM events""",
     "responses": """
   SELECT c.url,

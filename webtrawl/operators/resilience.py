@@ -11,6 +11,7 @@ from webtrawl.functions.breaker_rules import Breaker, Limits, advance, step, tab
 from webtrawl.operators.tables import first_per_key
 from webtrawl.plans.chains import anchored_starts
 from webtrawl.plans.hotkeys import SLICE, SLICE_ROWS, SLICED, running_totals, with_slices
+from webtrawl.plans.staging import stage
 from webtrawl.settings import (
     BREAKER_HALF_OPEN_MAX,
     BREAKER_RESET_MS,
@@ -129,7 +130,9 @@ def shared_breaker(
     fails = running_totals(
         base.filter(~F.col("ok")), ["name"], "ts_ms", "id", {"n": F.lit(1).cast("long")}, slice_rows
     )
-    tripping = fails.filter(F.col("n") >= threshold)
+    tripping = stage(
+        fails.filter(F.col("n") >= threshold).select("name", "id", "ts_ms"), "failures"
+    )
     chain = anchored_starts(tripping, "name", "ts_ms", reset_ms - 1, slice_rows).filter(
         F.col("ts_ms") == F.col("window_start")
     )

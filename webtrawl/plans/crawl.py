@@ -148,11 +148,15 @@ def crawl_bfs(
     """
     rules = rules or CrawlRules()
     state = start_state(pages.sparkSession, seeds)
+    at_most = 0  # every waiting url adds one node or none
     while max_rounds is None or state.rounds < max_rounds:
         waiting = state.frontier.count()
-        if waiting == 0 or waiting > max_frontier or state.nodes.count() >= max_nodes:
+        if waiting == 0 or waiting > max_frontier:
+            break
+        if at_most >= max_nodes and state.nodes.count() >= max_nodes:
             break
         state = expand_frontier(state, pages, rules, started_at + state.rounds)
+        at_most += waiting
     return state
 
 
