@@ -2,7 +2,12 @@
 
 
 def _load():
-    from webtrawl.catalog import event_queries, page_queries, search_queries  # noqa: F401
+    from webtrawl.catalog import (  # noqa: F401
+        event_queries,
+        page_queries,
+        search_queries,
+        stream_queries,
+    )
     from webtrawl.catalog.registry import QUERIES, SQL
 
     return QUERIES, SQL

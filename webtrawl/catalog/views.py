@@ -130,9 +130,13 @@ def robots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fetch_log(spark: SparkSession, sf: str) -> DataFrame:
+    return fetch_log_of(events(spark, sf))
+
+
+def fetch_log_of(events_df: DataFrame) -> DataFrame:
     ok = F.col("event_type") != "error"
     domain = F.concat(F.lit("d"), "user_id", F.lit(".example"))
-    return events(spark, sf).select(
+    return events_df.select(
         F.col("event_id").alias("attempt_id"), F.unix_millis("ts").alias("ts_ms"), "ts",
         F.concat(F.lit("https://"), domain, F.lit("/p/"), "event_id").alias("url"),
         domain.alias("domain"), ok.alias("ok"),
@@ -142,10 +146,14 @@ def fetch_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
+    return requests_of(events(spark, sf))
+
+
+def requests_of(events_df: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "search").when(
         F.col("event_type") == "click", "stats"
     ).otherwise("page")
-    return events(spark, sf).select(
+    return events_df.select(
         F.col("event_id").alias("request_id"), F.unix_millis("ts").alias("ts_ms"), "ts",
         F.concat(F.lit("u"), "user_id").alias("client"), (kind == "search").alias("is_search"),
         kind.alias("kind"), F.round(F.col("value") * 10).cast("long").alias("duration_ms"),
@@ -153,7 +161,11 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select(
+    return calls_of(events(spark, sf))
+
+
+def calls_of(events_df: DataFrame) -> DataFrame:
+    return events_df.select(
         F.concat(F.lit("svc"), F.col("user_id") % 8).alias("name"), F.col("event_id").alias("id"),
         F.unix_millis("ts").alias("ts_ms"), (F.col("event_type") != "error").alias("ok"),
     )
