@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from webtrawl.functions.breaker_rules import Breaker, Limits, advance, step, tabulate
 from webtrawl.operators.tables import first_per_key
 from webtrawl.plans.chains import anchored_starts
-from webtrawl.plans.hotkeys import SLICE, SLICE_ROWS, SLICED, running_totals, with_slices
+from webtrawl.plans.hotkeys import (
+    SLICE,
+    SLICE_ROWS,
+    SLICED,
+    grouped_for_python,
+    running_totals,
+    with_slices,
+)
 from webtrawl.plans.staging import stage
 from webtrawl.settings import (
     BREAKER_HALF_OPEN_MAX,
@@ -90,7 +97,7 @@ def circuit_breaker(
             last_failure=pd.array(last, dtype="Int64"),
         )
 
-    tables = cut.filter(SLICED).groupBy("name", SLICE).applyInPandas(
+    tables = grouped_for_python(cut.filter(SLICED), "name", SLICE).applyInPandas(
         summarise, f"name string, {SLICE} long, ends string"
     )
     starts = tables.groupBy("name").applyInPandas(
@@ -98,7 +105,7 @@ def circuit_breaker(
         f"name string, {SLICE} long, _mode_ string, _failures_ long, _successes_ long, _last_ long",
     )
     ready = cut.join(starts, ["name", SLICE], "left").drop(SLICED)
-    return ready.groupBy("name", SLICE).applyInPandas(
+    return grouped_for_python(ready, "name", SLICE).applyInPandas(
         replay,
         "name string, id long, ts_ms long, ok boolean, admitted boolean, state string, "
         "failure_count long, last_failure long",

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from webtrawl.functions.stemming import STOP_WORDS, stem
 from webtrawl.functions.text import query_terms, sanitize_query, tokens
 from webtrawl.operators.pages import result_view
-from webtrawl.plans.staging import stage
+from webtrawl.plans.staging import spread, stage
 from webtrawl.settings import HITS_PER_QUERY
 
 NODE_FIELDS = ["url", "title", "description", "metaDescription", "ogTitle", "ogDescription", "domain"]
@@ -41,7 +41,7 @@ class SearchIndex:
 def build_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
     """Term counts per document and field, computed inside the row: the tokens are sorted and
     counted as runs, so no shuffle is needed to group them."""
-    analysed = docs.select(
+    analysed = spread(docs.select("url", *[f for f in fields if f != "url"]), "url").select(
         "url", *[F.array_sort(tokens(f)).alias(f"_t{i}_") for i, f in enumerate(fields)]
     )
     doc_len = sum((F.size(f"_t{i}_") for i in range(1, len(fields))), F.size("_t0_"))
@@ -169,18 +169,22 @@ def search_prefix(
     inverse document frequency has a floor of 1e-6. ``rank`` is the negated score.
     """
     words = query_words(queries)
-    expanded = expand_prefixes(index.postings, words.select("word").distinct())
+    expanded = stage(
+        expand_prefixes(index.postings, words.select("word").distinct()), "expanded"
+    )
     found = (
         index.postings.join(expanded, "term")
         .groupBy("word", "url")
         .agg(F.sum("tf").alias("f"), F.max("doc_len").alias("dl"))
     )
-    spread = found.groupBy("word").agg(F.count("*").alias("n"))
+    # Both columns are read, though never 0, so that this branch and the scores share one shuffle.
+    matches = F.count_if((F.col("f") > 0) & (F.col("dl") > 0))
+    spread_n = found.groupBy("word").agg(matches.alias("n"))
     docs_n = index.docs.agg(F.count("*").cast("double").alias("n")).scalar()
     tokens_n = index.postings.agg(F.sum("tf").cast("double").alias("n")).scalar()
     idf = F.greatest(F.ln((docs_n - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     norm = K1 * (1 - B + B * F.col("dl") / (tokens_n / docs_n))
-    scored = found.join(spread, "word").select(
+    scored = found.join(spread_n, "word").select(
         "word", "url", (idf * F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("s")
     )
     needed = words.groupBy("query_id").agg(F.count("*").alias("_needed_"))
@@ -216,7 +220,8 @@ def search_stemmed(
     joined = F.array_join(
         F.array(*[F.coalesce(f, F.lit("")) for f in fields or STEMMED_FIELDS]), " "
     )
-    placed = docs.select("url", F.posexplode(tokens(joined)).alias("at", "term"))
+    text = spread(docs.select("url", joined.alias("text")), "url")
+    placed = text.select("url", F.posexplode(tokens("text")).alias("at", "term"))
     wanted = (
         query_words(queries)
         .filter(~F.col("word").isin(STOP_WORDS))
@@ -224,11 +229,13 @@ def search_stemmed(
         .select("query_id", "stem")
         .distinct()
     )
-    vocabulary = (
-        placed.select("term").distinct()
-        .filter(~F.col("term").isin(STOP_WORDS))
+    terms = placed.select("term").filter(~F.col("term").isin(STOP_WORDS)).distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = stage(
+        terms.repartition(parts, "term")
         .withColumn("stem", _stem_words("term"))
-        .join(wanted.select("stem").distinct(), "stem")
+        .join(wanted.select("stem").distinct(), "stem"),
+        "stems",
     )
     found = (
         placed.join(vocabulary, "term")
@@ -364,14 +371,16 @@ def search_fuzzy(
     boosts = boosts or FUZZY_BOOSTS
     words = query_words(queries)
     usable = index.postings.filter(F.col("field").isin(list(boosts)))
-    expanded = expand_fuzzy(usable.select("term").distinct(), words.select("word").distinct())
+    expanded = stage(
+        expand_fuzzy(usable.select("term").distinct(), words.select("word").distinct()), "expanded"
+    )
     shorter = F.least(F.length("word"), F.length("term"))
     weighted = expanded.select(
         "word", "term", (1.0 - F.col("dist") / shorter).alias("similarity")
     )
     terms = expanded.select("term").distinct()
     matched = usable.join(terms, "term")
-    spread = matched.groupBy("field", "term").agg(F.count("*").alias("df"))
+    term_df = matched.groupBy("field", "term").agg(F.count("*").alias("df"))
     fields = usable.groupBy("field").agg(
         F.count_if("first_term").alias("docs"),
         (F.sum("tf") / F.count_if("first_term")).alias("avg_len"),
@@ -382,7 +391,7 @@ def search_fuzzy(
         F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len"))
     )
     scored = (
-        matched.join(spread, ["field", "term"])
+        matched.join(term_df, ["field", "term"])
         .join(F.broadcast(fields), "field")
         .select("term", "url", "field", (boost * idf * part).alias("s"))
     )

@@ -14,7 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.plans.hotkeys import SLICE, SLICE_ROWS, SLICED, with_slices
+from webtrawl.plans.hotkeys import (
+    SLICE,
+    SLICE_ROWS,
+    SLICED,
+    grouped_for_python,
+    with_slices,
+)
 
 
 def _next_start(times: np.ndarray, window_ms: int) -> np.ndarray:
@@ -90,7 +96,7 @@ def anchored_starts(
         return pd.DataFrame({key: group[key].iloc[0], ms: times, "window_start": starts})
 
     key_type = df.schema[key].dataType.simpleString()
-    tables = cut.filter(SLICED).groupBy(key, SLICE).applyInPandas(
+    tables = grouped_for_python(cut.filter(SLICED), key, SLICE).applyInPandas(
         tabulate,
         f"{key} {key_type}, {SLICE} long, last long, upto array<long>, final array<long>",
     )
@@ -98,6 +104,6 @@ def anchored_starts(
         walk, f"{key} {key_type}, {SLICE} long, _open_ long"
     )
     ready = cut.join(entries, [key, SLICE], "left").select(key, ms, SLICE, "_open_")
-    return ready.groupBy(key, SLICE).applyInPandas(
+    return grouped_for_python(ready, key, SLICE).applyInPandas(
         resolve, f"{key} {key_type}, {ms} long, window_start long"
     )

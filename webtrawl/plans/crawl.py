@@ -14,7 +14,6 @@ from webtrawl.operators.frontier import (
     drop_blacklisted,
     drop_visited,
     filter_domain_quota,
-    filter_robots,
     polite_batch,
     robots_blocked,
 )
@@ -26,8 +25,9 @@ from webtrawl.settings import DOMAIN_MAX, MAX_DEPTH, MAX_FRONTIER, MAX_NODES, RE
 
 @dataclass(frozen=True)
 class CrawlState:
-    """Crawl tables after ``rounds`` rounds. Every node url is also visited; a round only adds
-    staged tables, so the plans stay short.
+    """Crawl tables after ``rounds`` rounds. Every node url is also visited, and no visited
+    url is in the frontier but for re-crawls. A round only adds staged tables, so the plans
+    stay short.
 
     The frontier ``id`` is an order key: the round, then the position of the finder, then
     that of the link. It puts urls in order of discovery without numbering a whole table.
@@ -66,7 +66,8 @@ def start_state(spark, seeds: DataFrame, nodes: DataFrame | None = None) -> Craw
         _order_key(0, F.col("_n_")).alias("id"), "url", F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent"),
     )
-    return CrawlState(nodes, nodes.select("url"), stage(rows, "frontier"))
+    visited = nodes.select("url")
+    return CrawlState(nodes, visited, stage(drop_visited(rows, visited), "frontier"))
 
 
 def _without_domains(urls: DataFrame, blocked: DataFrame | None) -> DataFrame:
@@ -86,10 +87,13 @@ def expand_frontier(
     urls (depth -1) skip the visited and robots rules and store and add nothing.
     """
     again = F.col("depth") == RECRAWL_DEPTH
-    fresh = drop_visited(state.frontier.filter(~again), state.visited)
-    eligible = _without_domains(fresh.filter(get_domain("url") != ""), rules.auto_blocked)
-    allowed = eligible if rules.robots is None else filter_robots(eligible, rules.robots)
-    batch = allowed.unionByName(state.frontier.filter(again))
+    eligible = _without_domains(
+        state.frontier.filter(get_domain("url") != ""), rules.auto_blocked
+    )
+    batch = eligible
+    if rules.robots is not None:
+        refused = robots_blocked(eligible.filter(~again), rules.robots)
+        batch = eligible.join(refused.select("url"), "url", "left_anti")
     if rules.domain_limit is not None:
         batch = polite_batch(batch, None, rules.domain_limit, None)
 
@@ -98,8 +102,9 @@ def expand_frontier(
     parsed = parse_page(looked_up.withColumn("found", F.col("html").isNotNull()))
     fetched = with_popularity(parsed, top_domains(state.nodes))
     if rules.robots is not None:
-        refused = robots_blocked(eligible, rules.robots).withColumn("found", F.lit(False))
-        fetched = fetched.unionByName(refused, allowMissingColumns=True)
+        fetched = fetched.unionByName(
+            refused.withColumn("found", F.lit(False)), allowMissingColumns=True
+        )
     fetched = stage(fetched, "fetched")
 
     first_time = fetched.filter(F.col("depth") != RECRAWL_DEPTH)

@@ -86,3 +86,10 @@ def running_totals(
             for n in totals
         ],
     )
+
+
+def grouped_for_python(df: DataFrame, *keys: str):
+    """Rows grouped by ``keys`` for a Python function, over all shuffle partitions: adaptive
+    execution would merge partitions by bytes and leave the Python work to few tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).groupBy(*keys)
