@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from webtrawl.functions.urls import get_domain, get_origin, get_path, host_suffixes
 from webtrawl.plans.ranking import global_row_number
+from webtrawl.plans.staging import stage
 from webtrawl.settings import (
     CONCURRENCY,
     DOMAIN_LIMIT,
@@ -161,11 +162,12 @@ def admission_gate(
 ) -> DataFrame:
     """All link rules in order: blocklist, depth, table caps, domain quota, auto-blocks.
 
-    The frontier cap admits links in ``seq`` order up to the free room.
+    The frontier cap admits links in ``seq`` order up to the free room; they are put in order
+    only when there is not room for all.
     """
     counts = nodes.groupBy("domain").agg(F.count("*").alias("c"))
     n_nodes = nodes.agg(F.count("*").alias("n"))
-    room = frontier.agg((F.lit(max_frontier) - F.count("*")).alias("room"))
+    room = max_frontier - frontier.count()
     kept = depth_filter(drop_blacklisted(links, blocklist), max_depth)
     kept = kept.filter(n_nodes.scalar() < max_nodes)
     kept = filter_domain_quota(kept, counts, max_pages)
@@ -173,5 +175,8 @@ def admission_gate(
         keyed = kept.withColumn("_domain_", get_domain("url"))
         names = auto_blocked.select(F.col("domain").alias("_domain_"))
         kept = keyed.join(names, "_domain_", "left_anti").select(*links.columns)
+    kept = stage(kept, "admitted")
+    if kept.count() <= room:
+        return kept
     numbered = global_row_number(kept, [F.col(seq)], "_rn_")
-    return numbered.filter(F.col("_rn_") <= room.scalar()).select(*links.columns)
+    return numbered.filter(F.col("_rn_") <= room).select(*links.columns)

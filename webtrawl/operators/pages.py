@@ -41,22 +41,23 @@ _WINDOWS_LABELS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252"
 
 
 @F.pandas_udf(T.StringType())
-def _decode_other(body, charset, fallback):
+def _decode(body, charset):
+    """Text of each body; null without a body or for a charset that is not known."""
     import codecs
 
     import pandas as pd
 
-    def one(data, label, otherwise):
+    def one(data, label):
         if data is None:
             return None
         name = _WINDOWS_LABELS.get(label.lower(), label)
         try:
             codecs.lookup(name)
         except LookupError:
-            return otherwise
+            return None
         return bytes(data).decode(name, errors="replace")
 
-    return pd.Series([one(*row) for row in zip(body, charset, fallback)])
+    return pd.Series([one(*row) for row in zip(body, charset)], dtype=object)
 
 
 def decode_body(
@@ -64,32 +65,27 @@ def decode_body(
 ) -> DataFrame:
     """Add ``out``: the body text, decoded by header charset, then by the ``<meta>`` charset.
 
-    UTF-8 bodies, nearly all, are decoded in the JVM; only the rest goes through Arrow.
-    An unknown charset falls back to UTF-8 (header) or to the header's text (meta).
+    UTF-8 bodies, nearly all, are decoded in the JVM; Python gets a body only when another
+    charset is named. An unknown charset falls back to UTF-8 (header) or to the header's text
+    (meta). One pass over the table.
     """
-    data = F.substring(F.col(body), 1, max_bytes)
     utf8_names = ["utf-8", "utf8"]
+    data, label = F.col("_data_"), F.col("_label_")
     prepared = (
-        df.withColumn("_data_", data)
+        df.withColumn("_data_", F.substring(F.col(body), 1, max_bytes))
         .withColumn("_label_", header_charset(content_type))
-        .withColumn("_utf8_", F.make_valid_utf8(F.col("_data_").cast("string")))
-    )
-    plain = prepared.filter(F.col("_label_").isin(utf8_names)).withColumn(out, F.col("_utf8_"))
-    other = prepared.filter(~F.col("_label_").isin(utf8_names)).withColumn(
-        out, _decode_other("_data_", "_label_", "_utf8_")
-    )
-    first = plain.unionByName(other).withColumn(
-        "_meta_", F.regexp_extract(out, META_CHARSET, 1)
-    )
-    differs = (F.col("_meta_") != "") & (F.col("_meta_") != F.col("_label_"))
-    meta_utf8 = F.lower("_meta_").isin(utf8_names)
-    kept = first.filter(~differs | meta_utf8).withColumn(
-        out, F.when(differs, F.col("_utf8_")).otherwise(F.col(out))
+        .withColumn("_utf8_", F.make_valid_utf8(data.cast("string")))
     )
-    again = first.filter(differs & ~meta_utf8).withColumn(
-        out, _decode_other("_data_", "_meta_", out)
+    by_header = _decode(F.when(~label.isin(utf8_names), data), label)
+    first = prepared.withColumn("_first_", F.coalesce(by_header, "_utf8_")).withColumn(
+        "_meta_", F.regexp_extract("_first_", META_CHARSET, 1)
     )
-    return kept.unionByName(again).drop("_data_", "_label_", "_utf8_", "_meta_")
+    meta = F.col("_meta_")
+    differs = (meta != "") & (meta != label)
+    meta_utf8 = F.lower(meta).isin(utf8_names)
+    by_meta = _decode(F.when(differs & ~meta_utf8, data), meta)
+    text = F.when(differs & meta_utf8, F.col("_utf8_")).otherwise(F.coalesce(by_meta, "_first_"))
+    return first.withColumn(out, text).drop("_data_", "_label_", "_utf8_", "_first_", "_meta_")
 
 
 def follow_redirects(responses: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFrame:

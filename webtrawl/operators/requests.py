@@ -19,6 +19,11 @@ def slow_requests(requests: DataFrame, ms: int = SLOW_REQUEST_MS) -> DataFrame:
     return requests.filter(F.col("duration_ms") > ms)
 
 
+def _with_client(requests: DataFrame) -> DataFrame:
+    """Requests without a client address share one limit."""
+    return requests.withColumn("client", F.coalesce("client", F.lit("unknown")))
+
+
 def sliding_rate_limit(
     requests: DataFrame, max_requests: int = RATE_MAX, window_ms: int = RATE_WINDOW_MS
 ) -> DataFrame:
@@ -28,6 +33,7 @@ def sliding_rate_limit(
     Work is cut per client and window-long slot. A slot also gets the bare times of the slot
     before it, which is all the look-back needs, so a hot client is spread over its slots.
     """
+    requests = _with_client(requests)
     slot = F.floor(F.col("ts_ms") / window_ms)
     own = requests.withColumn("_slot_", slot).withColumn("_own_", F.lit(True))
     earlier = requests.select("client", "ts_ms", "request_id", (slot + 1).alias("_slot_")).withColumn(
@@ -62,6 +68,7 @@ def anchored_rate_limit(
     ``max_searches`` as well. The chain of window starts is found per client slice
     (``anchored_starts``); the counting then is a window over one client window.
     """
+    requests = _with_client(requests)
     starts = anchored_starts(requests, "client", "ts_ms", window_ms, slice_rows)
     placed = requests.join(starts, ["client", "ts_ms"])
     inside = (

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from webtrawl.functions.stemming import STOP_WORDS, stem
 from webtrawl.functions.text import query_terms, sanitize_query, tokens
 from webtrawl.operators.pages import result_view
+from webtrawl.plans.hotkeys import over_all_partitions
 from webtrawl.plans.staging import spread, stage
 from webtrawl.settings import HITS_PER_QUERY
 
@@ -151,7 +152,7 @@ def _with_documents(hits: DataFrame, docs: DataFrame, extra: list[str] | None =
 
 def expand_prefixes(postings: DataFrame, words: DataFrame) -> DataFrame:
     """``(word, term)`` for every vocabulary term that starts with a word."""
-    vocabulary = postings.select("term").distinct()
+    vocabulary = over_all_partitions(postings.select("term").distinct(), "term")
     prefixes = F.transform(
         F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n)
     )
@@ -168,7 +169,7 @@ def search_prefix(
     A word's matches count as one phrase: its frequency is that of all terms it covers. The
     inverse document frequency has a floor of 1e-6. ``rank`` is the negated score.
     """
-    words = query_words(queries)
+    words = stage(query_words(queries), "words")
     expanded = stage(
         expand_prefixes(index.postings, words.select("word").distinct()), "expanded"
     )
@@ -230,9 +231,8 @@ def search_stemmed(
         .distinct()
     )
     terms = placed.select("term").filter(~F.col("term").isin(STOP_WORDS)).distinct()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = stage(
-        terms.repartition(parts, "term")
+        over_all_partitions(terms, "term")
         .withColumn("stem", _stem_words("term"))
         .join(wanted.select("stem").distinct(), "stem"),
         "stems",
@@ -351,7 +351,7 @@ def expand_fuzzy(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     sized = words.select("word", allowed_edits("word").alias("e"))
     near = F.levenshtein("word", "term", 2)
     return (
-        _term_keys(vocabulary)
+        _term_keys(over_all_partitions(vocabulary, "term"))
         .join(_word_keys(sized), ["e", "n", "i", "piece"])
         .select("word", "term", "e", near.alias("dist"))
         .filter((F.col("dist") >= 0) & (F.col("dist") <= F.col("e")))
@@ -369,17 +369,19 @@ def search_fuzzy(
     scaled by its similarity 1 - dist / shorter length. A swap of two letters is two edits.
     """
     boosts = boosts or FUZZY_BOOSTS
-    words = query_words(queries)
+    words = stage(query_words(queries), "words")
     usable = index.postings.filter(F.col("field").isin(list(boosts)))
-    expanded = stage(
-        expand_fuzzy(usable.select("term").distinct(), words.select("word").distinct()), "expanded"
-    )
+    expanded = expand_fuzzy(usable.select("term").distinct(), words.select("word").distinct())
     shorter = F.least(F.length("word"), F.length("term"))
-    weighted = expanded.select(
-        "word", "term", (1.0 - F.col("dist") / shorter).alias("similarity")
+    similarity = 1.0 - F.col("dist") / shorter
+    # Query terms are few next to postings; as a table, their size decides the join strategy.
+    by_term = stage(
+        words.join(expanded, "word").groupBy("query_id", "term").agg(
+            F.sum(similarity).alias("weight")
+        ),
+        "query_terms",
     )
-    terms = expanded.select("term").distinct()
-    matched = usable.join(terms, "term")
+    matched = usable.join(by_term.select("term").distinct(), "term")
     term_df = matched.groupBy("field", "term").agg(F.count("*").alias("df"))
     fields = usable.groupBy("field").agg(
         F.count_if("first_term").alias("docs"),
@@ -395,9 +397,6 @@ def search_fuzzy(
         .join(F.broadcast(fields), "field")
         .select("term", "url", "field", (boost * idf * part).alias("s"))
     )
-    by_term = words.join(weighted, "word").groupBy("query_id", "term").agg(
-        F.sum("similarity").alias("weight")
-    )
     scores = (
         by_term.join(scored, "term")
         .groupBy("query_id", "url", "field")

@@ -88,8 +88,12 @@ def running_totals(
     )
 
 
+def over_all_partitions(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition small rows that cost much work each over all shuffle partitions; adaptive
+    execution merges partitions by bytes and would leave such work to few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def grouped_for_python(df: DataFrame, *keys: str):
-    """Rows grouped by ``keys`` for a Python function, over all shuffle partitions: adaptive
-    execution would merge partitions by bytes and leave the Python work to few tasks."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).groupBy(*keys)
+    """Rows grouped by ``keys`` for a Python function, over all shuffle partitions."""
+    return over_all_partitions(df, *keys).groupBy(*keys)
