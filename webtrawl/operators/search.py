@@ -333,9 +333,14 @@ def _word_keys(words: DataFrame) -> DataFrame:
         )
         for i in range(edits + 1):
             start, size = _segment(F.col("n"), edits, i)
+            # The first intact segment has at most i edits before it and edits - i after it.
+            grown = m - F.col("n")
+            low = F.greatest(F.lit(-i), grown - (edits - i))
+            high = F.least(F.lit(i), grown + (edits - i))
+            places = F.when(low <= high, F.sequence(start + low, start + high))
             shifted = sized.select(
                 "word", "e", "n", F.lit(i).alias("i"), size.alias("_size_"),
-                F.explode(F.sequence(start - edits, start + edits)).alias("_at_"),
+                F.explode(places).alias("_at_"),
             ).filter((F.col("_at_") >= 0) & (F.col("_at_") + F.col("_size_") <= m))
             out = out.unionByName(
                 shifted.select(
@@ -381,8 +386,10 @@ def search_fuzzy(
         ),
         "query_terms",
     )
-    matched = usable.join(by_term.select("term").distinct(), "term")
-    term_df = matched.groupBy("field", "term").agg(F.count("*").alias("df"))
+    term_df = (
+        usable.join(by_term.select("term").distinct(), "term")
+        .groupBy("field", "term").agg(F.count("*").alias("df"))
+    )
     fields = usable.groupBy("field").agg(
         F.count_if("first_term").alias("docs"),
         (F.sum("tf") / F.count_if("first_term")).alias("avg_len"),
@@ -393,16 +400,18 @@ def search_fuzzy(
         F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len"))
     )
     scored = (
-        matched.join(term_df, ["field", "term"])
+        usable.join(term_df, ["field", "term"])
         .join(F.broadcast(fields), "field")
         .select("term", "url", "field", (boost * idf * part).alias("s"))
+        .join(by_term, "term")
+        .withColumn("s", F.col("s") * F.col("weight"))
     )
+    # One sum per field side by side: a single shuffle gives the best field of each document.
+    sums = [F.sum(F.when(F.col("field") == f, F.col("s"))).alias(f"_{f}_") for f in boosts]
+    best = F.greatest(*[f"_{f}_" for f in boosts]) if len(boosts) > 1 else F.col(f"_{[*boosts][0]}_")
     scores = (
-        by_term.join(scored, "term")
-        .groupBy("query_id", "url", "field")
-        .agg(F.sum(F.col("s") * F.col("weight")).alias("s"))
-        .groupBy("query_id", "url")
-        .agg(F.round(F.max("s"), 9).alias("score"))
+        scored.groupBy("query_id", "url").agg(*sums)
+        .select("query_id", "url", F.round(best, 9).alias("score"))
     )
     hits = top_hits(scores, k).withColumn("rank", F.col("score"))
     return _with_documents(hits, index.docs, ["popularity"])
