@@ -108,6 +108,7 @@ def with_resolved_url(df: DataFrame, base: str, ref: str, out: str = "link") ->
     absolute = F.col(ref).rlike(_CLEAN_ABSOLUTE)
     simple = F.when(rooted, F.concat(origin, F.col(ref))).when(absolute, F.col(ref))
     staged = df.withColumn("_simple_", simple)
-    hard = F.when(F.col("_simple_").isNull(), F.col(ref))
-    resolved = F.coalesce("_simple_", resolve_refs(F.col(base), hard))
+    hard = F.col("_simple_").isNull()
+    slow = resolve_refs(F.when(hard, F.col(base)), F.when(hard, F.col(ref)))
+    resolved = F.coalesce("_simple_", slow)
     return staged.withColumn(out, resolved).drop("_simple_")
