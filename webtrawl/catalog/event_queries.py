@@ -15,6 +15,13 @@ from webtrawl.sources.metrics_text import metric_rows
 DAY = 86_400_000
 HOUR = 3_600_000
 
+
+
+def _slice_rows(spark, sf, least):
+    """A slice size that makes small tables use many slices and large ones not too many."""
+    return max(least, v.events(spark, sf).count() // 2000)
+
+
 # ---------------------------------------------------------------- statistics
 
 _STATS = """count_if(ok) AS success, count_if(NOT ok) AS fail,
@@ -166,7 +173,7 @@ def auto_blocklist(spark, sf):
 )
 def auto_blocklist_sliced(spark, sf):
     """The same with every busy domain cut into time slices."""
-    return fl.auto_blocklist(v.fetch_log(spark, sf), ratio=0.2, slice_rows=30)
+    return fl.auto_blocklist(v.fetch_log(spark, sf), ratio=0.2, slice_rows=_slice_rows(spark, sf, 30))
 
 
 @query(
@@ -374,7 +381,7 @@ def anchored_rate_limit(spark, sf):
 @query("anchored_rate_limit_sliced", _ANCHORED_SQL)
 def anchored_rate_limit_sliced(spark, sf):
     """The same with every busy client cut into time slices."""
-    return _anchored(spark, sf, slice_rows=30)
+    return _anchored(spark, sf, slice_rows=_slice_rows(spark, sf, 30))
 
 
 # ---------------------------------------------------------------- breakers and retries
@@ -418,7 +425,7 @@ def circuit_breaker(spark, sf):
 @query("circuit_breaker_sliced", _BREAKER_SQL)
 def circuit_breaker_sliced(spark, sf):
     """The same with every busy breaker cut into time slices."""
-    return _breaker(spark, sf, slice_rows=100)
+    return _breaker(spark, sf, slice_rows=_slice_rows(spark, sf, 100))
 
 
 @query(
@@ -458,7 +465,8 @@ def shared_breaker(spark, sf):
 @query("shared_breaker_sliced", _SHARED_SQL)
 def shared_breaker_sliced(spark, sf):
     """The same with every busy breaker cut into time slices."""
-    return rs.shared_breaker(v.calls(spark, sf), _T, _RESET, slice_rows=100).select(
+    size = _slice_rows(spark, sf, 100)
+    return rs.shared_breaker(v.calls(spark, sf), _T, _RESET, slice_rows=size).select(
         "id", "admitted", "state", "failure_count"
     )
 
