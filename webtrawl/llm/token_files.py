@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webtrawl.llm.common import CACHE_WORDS, id_text, text_chunks
+from webtrawl.llm.common import id_text, text_chunks
+
+#: Words a worker keeps the ids of (about 200 bytes each), and the longest word kept.
+CACHE_WORDS, CACHED_BYTES = 1_200_000, 40
 
 _SHARD = "part int, docs long, ids long, name string"
 SHARDS = "shard int, docs long, ids long, first_doc long, first_id long, path string, dtype string"
@@ -51,13 +54,17 @@ class WordEncoder:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         cut = [t.encode().split() if t else [] for t in texts]
-        new = list({w for text in cut for w in text if w not in cache})
+        new = list(set().union(*cut).difference(cache))
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             cache.update((w, np.array(e.ids, dtype).tobytes()) for w, e in zip(part, found, strict=True))
         known = cache.__getitem__
-        return [b"".join([*map(known, text), end]) for text in cut]
+        out = [b"".join([*map(known, text), end]) for text in cut]
+        for word in new:
+            if len(word) > CACHED_BYTES:
+                del cache[word]
+        return out
 
 
 @lru_cache(maxsize=2)
