@@ -20,13 +20,12 @@ PIECE_BYTES = 2 << 10
 LEVEL = 3
 
 
-def sampled(rows: DataFrame, per_class: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, skip: int = 0) -> DataFrame:
+def sampled(rows: DataFrame, per_class: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """From rows (doc_id, text, label) the beginnings of ``per_class`` texts of each label, the
-    ones whose id hashes lowest (after ``skip`` others), so that any run takes the same."""
+    ones whose id hashes lowest, so that any run takes the same."""
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ranked = rows.withColumn("_n", F.row_number().over(order))
-    kept = ranked.where((F.col("_n") > skip) & (F.col("_n") <= skip + per_class))
-    return kept.select("label", F.substring("text", 1, chars).alias("text"))
+    cut = rows.select("doc_id", "label", F.substring("text", 1, chars).alias("text"))
+    return cut.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).select("label", "text")
 
 
 def dictionaries(samples: list[tuple], limit: int = DICTIONARY_BYTES) -> dict:

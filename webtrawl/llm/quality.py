@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webtrawl.llm.common import CACHE_WORDS, id_text, text_chunks
-from webtrawl.llm.compression import Sizes, dictionaries, sampled
+from webtrawl.llm.compression import Sizes, dictionaries
 
 #: Texts of each label for the dictionaries, and characters of each.
 DICT_DOCS, DICT_CHARS = 400, 300
@@ -112,17 +112,23 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str
 
     Texts in the dictionaries: ``DICT_DOCS`` of each label; texts for the curve: ``FIT_DOCS``
     others of each label (of fewer texts a half each), weighted to the labels' share among all
-    labelled rows. Null and empty texts and null labels are left out; several labels of an id
-    count each. Without both labels every text scores the share of good ones (one half, if
+    labelled rows. Null and empty texts and null labels are left out; an id with both labels
+    counts for each. Without both labels every text scores the share of good ones (one half, if
     there are none).
     """
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1)).where(rows)
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    known = id_text(docs, id_col, text_col).where(rows & F.col("text").isNotNull() & (F.col("text") != "")).join(marks, "doc_id")
+    texts = id_text(docs, id_col, text_col).where(rows & F.col("text").isNotNull() & (F.col("text") != ""))
+    marked = marks.distinct().join(texts.select("doc_id").distinct(), "doc_id")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = marked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DICT_DOCS + FIT_DOCS)
+    # at most two labels times the sample's bound: ids go to the texts, not texts to the ids
+    wanted = F.broadcast(picked.select("doc_id", "label"))
+    sample = texts.join(wanted, "doc_id").select("doc_id", "label", F.substring("text", 1, FIT_CHARS).alias("text"))
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     chosen: dict[int, list[str]] = {0: [], 1: []}
-    for r in sampled(known, DICT_DOCS + FIT_DOCS, FIT_CHARS).collect():
+    for r in sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect():
         chosen[r["label"]].append(r["text"])
     into = {label: min(DICT_DOCS, -(-len(texts) // 2)) for label, texts in chosen.items()}
     if not all(chosen.values()):
