@@ -54,7 +54,7 @@ _WORD, _PAIR, _HISTORY = 1, 2, 3
 
 def pack(values: np.ndarray) -> bytes:
     """Fixed-width numbers byte plane by byte plane, compressed: high planes hardly cost."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
