@@ -6,14 +6,11 @@ from pyspark.sql import functions as F
 
 from webtrawl.functions.urls import get_domain, get_origin, get_path, host_suffixes
 from webtrawl.plans.ranking import global_row_number
-from webtrawl.plans.staging import stage
 from webtrawl.settings import (
     CONCURRENCY,
     DOMAIN_LIMIT,
     DOMAIN_MAX,
     MAX_DEPTH,
-    MAX_FRONTIER,
-    MAX_NODES,
 )
 
 
@@ -156,27 +153,27 @@ def admission_gate(
     auto_blocked: DataFrame | None = None,
     seq: str = "id",
     max_depth: int = MAX_DEPTH,
-    max_nodes: int = MAX_NODES,
-    max_frontier: int = MAX_FRONTIER,
+    max_nodes: int | None = None,
+    max_frontier: int | None = None,
     max_pages: int = DOMAIN_MAX,
 ) -> DataFrame:
     """All link rules in order: blocklist, depth, table caps, domain quota, auto-blocks.
 
-    The frontier cap admits links in ``seq`` order up to the free room; they are put in order
-    only when there is not room for all.
+    Both table caps are off by default. A frontier cap admits links in ``seq`` order up to the
+    free room.
     """
     counts = nodes.groupBy("domain").agg(F.count("*").alias("c"))
     n_nodes = nodes.agg(F.count("*").alias("n"))
-    room = max_frontier - frontier.count()
     kept = depth_filter(drop_blacklisted(links, blocklist), max_depth)
-    kept = kept.filter(n_nodes.scalar() < max_nodes)
+    if max_nodes is not None:
+        kept = kept.filter(n_nodes.scalar() < max_nodes)
     kept = filter_domain_quota(kept, counts, max_pages)
     if auto_blocked is not None:
         keyed = kept.withColumn("_domain_", get_domain("url"))
         names = auto_blocked.select(F.col("domain").alias("_domain_"))
         kept = keyed.join(names, "_domain_", "left_anti").select(*links.columns)
-    kept = stage(kept, "admitted")
-    if kept.count() <= room:
+    if max_frontier is None:
         return kept
+    room = F.lit(max_frontier) - frontier.agg(F.count("*").alias("n")).scalar()
     numbered = global_row_number(kept, [F.col(seq)], "_rn_")
     return numbered.filter(F.col("_rn_") <= room).select(*links.columns)

@@ -1,6 +1,6 @@
 """Set-based crawl rounds over already fetched pages."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from webtrawl.operators.frontier import (
 from webtrawl.operators.graph import domain_counts, top_domains, with_popularity
 from webtrawl.operators.tables import first_per_key
 from webtrawl.plans.staging import stage
-from webtrawl.settings import DOMAIN_MAX, MAX_DEPTH, MAX_FRONTIER, MAX_NODES, RECRAWL_DEPTH
+from webtrawl.settings import DOMAIN_MAX, MAX_DEPTH, RECRAWL_DEPTH
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,7 @@ class CrawlState:
     visited: DataFrame
     frontier: DataFrame
     rounds: int = 0
+    refused: int = 0
 
 
 @dataclass(frozen=True)
@@ -143,10 +144,13 @@ def crawl_bfs(
     rules: CrawlRules | None = None,
     started_at: int = 0,
     max_rounds: int | None = None,
-    max_nodes: int = MAX_NODES,
-    max_frontier: int = MAX_FRONTIER,
+    max_nodes: int | None = None,
+    max_frontier: int | None = None,
 ) -> CrawlState:
-    """Crawl from the seeds until no url is left, or a table cap or the round limit is met.
+    """Crawl from the seeds until no url is left or the round limit is met.
+
+    Once a given table cap is reached, no more links are added; what waits is crawled all the
+    same, and ``refused`` of the state says how many new urls were turned away.
 
     Depth is the parent's depth + 1 and the parent is the first finder, in frontier order.
     Each round is a fixed number of jobs over staged tables; the driver only sees counts.
@@ -156,12 +160,18 @@ def crawl_bfs(
     at_most = 0  # every waiting url adds one node or none
     while max_rounds is None or state.rounds < max_rounds:
         waiting = state.frontier.count()
-        if waiting == 0 or waiting > max_frontier:
-            break
-        if at_most >= max_nodes and state.nodes.count() >= max_nodes:
+        if waiting == 0:
             break
+        full = max_frontier is not None and waiting > max_frontier
+        if max_nodes is not None and at_most >= max_nodes:
+            full = full or state.nodes.count() >= max_nodes
+        refused = state.refused
         state = expand_frontier(state, pages, rules, started_at + state.rounds)
         at_most += waiting
+        if full:
+            refused += state.frontier.count()
+            state = replace(state, frontier=state.frontier.limit(0))
+        state = replace(state, refused=refused)
     return state
 
 

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from webtrawl.operators.tables import first_per_key
 from webtrawl.plans.staging import new_folder
@@ -12,6 +13,16 @@ from webtrawl.plans.staging import new_folder
 BATCH = "batch_id"
 
 
+def finish(job: StreamingQuery, timeout_s: float | None) -> None:
+    """Wait until the source is read up. A job that outlasts a given limit is stopped and an
+    error raised, so a partial table is never read."""
+    if timeout_s is None:
+        job.awaitTermination()
+    elif not job.awaitTermination(timeout_s):
+        job.stop()
+        raise TimeoutError(f"the stream did not end within {timeout_s} s")
+
+
 def read_file_stream(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
     files_per_batch: int | None = None,
@@ -23,7 +34,7 @@ def read_file_stream(
     return reader.parquet(folder)
 
 
-def run_append(stream: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
+def run_append(stream: DataFrame, name: str, timeout_s: float | None = None) -> DataFrame:
     """Write an append-only stream to a new table until the source is read up."""
     folder = new_folder(stream.sparkSession, name)
     job = (
@@ -31,13 +42,13 @@ def run_append(stream: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
         .option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start()
     )
-    job.awaitTermination(timeout_s)
+    finish(job, timeout_s)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
 def run_batches(
     stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None],
-    mode: str = "append", timeout_s: int = 600,
+    mode: str = "append", timeout_s: float | None = None,
 ) -> str:
     """Hand each micro-batch to ``handle(batch, batch_id, folder)``; returns the folder."""
     folder = new_folder(stream.sparkSession, name)
@@ -46,7 +57,7 @@ def run_batches(
         .foreachBatch(lambda batch, batch_id: handle(batch, batch_id, folder))
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
-    job.awaitTermination(timeout_s)
+    finish(job, timeout_s)
     return folder
 
 
