@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: Entries a worker's word cache holds before it is emptied.
 CACHE_WORDS = 400_000
+#: Bits of the bitmap that ``among`` gives to every task: 8 MB.
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,28 @@ def fold(id_column: Column, folds: int) -> Column:
     return F.crc32(id_column.cast("string")) % folds
 
 
+def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in the only column of ``keys``; any order and
+    repeats allowed there. Nulls are in nothing.
+
+    The keys' hashes are first marked in a bitmap of ``bits`` bits, 8 MB at the most whatever the
+    number of keys, that every task gets. Only rows with a marked hash are shuffled for the join;
+    with more keys than bits that saves less, and the result is the same.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    key = keys.select(F.col(keys.columns[0]).alias("_key")).where("_key is not null")
+    bitmap = key.select(place("_key").alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")
+    )
+    own = df.withColumn("_place", place(column))
+    bit = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = own.withColumn("_part", F.bitmap_bucket_number("_place")).join(F.broadcast(bitmap), "_part").where(
+        byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) != 0
+    )
+    return marked.select(*df.columns).join(key.distinct(), F.col(column) == F.col("_key"), "left_semi")
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,17 @@ the registers, and two sets agree in a register about as often as their similari
 values are banded: sets that agree in a whole band meet in a bucket.
 
 1. Documents with the same shingle set are one node, their smallest id.
-2. In each bucket every node meets the bucket's smallest node only. A joint likelihood of the
-   two register rows estimates the similarity; pairs clearly below the threshold go, the others
-   are verified on full shingle sets.
-3. The components of these links are formed. Buckets that hold nodes of several components are
-   looked at again: there, nodes of different components meet, so no link is lost that could
-   join two components, and pairs inside a large group are never made.
-4. The components of all links are the groups.
+2. In each bucket of the first bands every node meets the bucket's smallest node, and keeps of
+   these partners the one it shares most buckets with. A joint likelihood of the two register
+   rows estimates the similarity; pairs clearly below the threshold go, the others are verified
+   on full shingle sets. The links' components are formed.
+3. Buckets of all bands that hold nodes of several components stay open. As long as that finds
+   many links, one node of each component meets one of the bucket's largest component, other nodes in
+   every round. So a large group becomes one component by a few links for each node.
+4. In the buckets that are open still, all nodes of different components meet, each pair in the
+   first bucket it shares, so no link is lost that could join two components, and pairs inside a
+   component are never made.
+5. The components of all links are the groups.
 """
 
 from __future__ import annotations
@@ -22,19 +26,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.llm.common import WordHashes, chained, id_text, text_chunks, words
+from webtrawl.llm.common import WordHashes, among, chained, id_text, text_chunks, words
 from webtrawl.llm.components import components
 from webtrawl.plans.staging import stage
 
 SHINGLE, PERCENT = 5, 80
 #: Two sets of similarity 0.8 miss each other in all bands once in more than ten million times.
 BANDS, ROWS = 40, 5
+#: Bands whose buckets all nodes look at first.
+FIRST_BANDS = 4
 REGISTERS = BANDS * ROWS
 #: The geometric scale of the registers: ratio, rate of the hashes, largest value.
 BASE, RATE, TOP = 1.2, 20.0, 254
+#: Rounds of step 3 go on while one pair in so many is a link; step 4 finds what they leave.
+WORTHWHILE = 50
 #: Pairs estimated lower than this are not verified: more than six standard errors below 0.8.
 LEAST_ESTIMATE = 0.62
 #: Shingles hashed at once.
@@ -104,9 +112,15 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return np.take_along_axis(grid, likelihood.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """The ids in (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose estimate leaves the threshold open."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    asked = among(nodes, "node", _sides(pairs))
+    side = lambda x: asked.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     rows = rows.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
 
@@ -124,8 +138,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets are similar enough."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(asked, "doc_id", "left_semi")
+    texts = among(docs, "doc_id", _sides(pairs))
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
@@ -144,10 +157,56 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """node, bucket: one row per node and band."""
-    band = lambda j: F.xxhash64(F.lit(j), F.substring("registers", j * ROWS + 1, ROWS))
-    return nodes.select("node", "n", F.explode(F.array(*[band(j) for j in range(BANDS)])).alias("bucket"))
+def _bands(count: int = BANDS) -> Column:
+    """The keys of the first ``count`` buckets of a register row."""
+    return F.array(*[F.xxhash64(F.lit(j), F.substring("registers", j * ROWS + 1, ROWS)) for j in range(count)])
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of the partners b of each a the one that comes up most often; of these the smallest."""
+    often = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return often.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+
+
+def _first_pairs(nodes: DataFrame) -> DataFrame:
+    members = nodes.select("node", F.explode(_bands(FIRST_BANDS)).alias("bucket"))
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").drop("high")
+    return _closest(members.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b"))
+
+
+def _placed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` with g, the component of their node."""
+    known = groups.select("node", F.col("component").alias("g"))
+    return members.join(known, "node", "left").withColumn("g", F.coalesce("g", "node"))
+
+
+def _still_open(placed: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components."""
+    split = placed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high")
+    return among(placed, "bucket", stage(split.select("bucket"), "split"))
+
+
+def _pairs_of_groups(members: DataFrame, turn: int) -> DataFrame:
+    """A node of each component of a bucket with a node of the bucket's largest component."""
+    order = F.xxhash64("node", F.lit(turn))
+    ones = members.groupBy("bucket", "g").agg(F.min_by("node", F.struct(order, "node")).alias("a"), F.count("*").alias("size"))
+    largest = ones.groupBy("bucket").agg(F.max_by(F.struct("a", "g"), F.struct("size", -F.col("g"))).alias("top"))
+    met = ones.join(largest, "bucket").where(F.col("g") != F.col("top.g"))
+    return _closest(met.select("a", F.col("top.a").alias("b")))
+
+
+def _pairs_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in one bucket, each once, from the first they share."""
+    keyed = members.join(among(nodes, "node", members.select("node")).select("node", _bands().alias("bands")), "node")
+    x, y = (keyed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "g", "bands")]) for s in "xy")
+    across = x.join(
+        y,
+        (x.bucket == y.bucket)
+        & (F.col("g_x") < F.col("g_y"))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & (F.array_intersect("bands_x", "bands_y")[0] == x.bucket),
+    )
+    return across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,31 +226,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("registers").alias("registers")),
         "sets",
     )
-    members = _buckets(nodes)
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
-    stars = members.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    stars = stage(stars, "pairs")
-    links = stage(verified(stage(likely_pairs(stars, nodes), "likely"), rows, shingle, percent), "verified")
     # rows that share an id tie their sets together, whatever these are
-    tied = usable.join(nodes.select("set_id", F.col("node")), "set_id").where("doc_id <> node").groupBy("doc_id").agg(
+    tied = usable.select("doc_id", "set_id").join(nodes.select("set_id", "node"), "set_id").where("doc_id <> node").groupBy("doc_id").agg(
         F.min("node").alias("low"), F.max("node").alias("high")
     ).where("low <> high").select(F.col("low").alias("u"), F.col("high").alias("v"))
-    first = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = stage(components(first.union(tied)), "groups")
-    group = lambda df: df.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    placed = group(members)
-    split = placed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("bucket")
-    open_members = stage(placed.join(split, "bucket", "left_semi"), "open")
-    x, y = (open_members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "g")]) for s in "xy")
-    across = x.join(y, "bucket").where(
-        (F.col("g_x") < F.col("g_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    )
-    pairs = across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    seen = stars.select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q"))
-    fresh = pairs.join(seen, (F.greatest("a", "b") == F.col("p")) & (F.least("a", "b") == F.col("q")), "left_anti")
-    more = stage(verified(stage(likely_pairs(fresh, nodes), "likely"), rows, shingle, percent), "verified")
-    stars_of_groups = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = stage(components(stars_of_groups.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "groups")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        likely = stage(likely_pairs(pairs, nodes), "likely")
+        return stage(verified(likely, rows, shingle, percent), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def joined(groups: DataFrame, more: DataFrame) -> DataFrame:
+        stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return stage(components(stars.union(more)), "groups")
+
+    groups = stage(components(links(stage(_first_pairs(nodes), "pairs")).union(tied)), "groups")
+    members = _placed(nodes.select("node", "n", "registers"), groups).select("node", "n", "g", F.explode(_bands()).alias("bucket"))
+    members = stage(_still_open(members), "open")
+    turn, asked, found = 0, 1, 1
+    while asked < WORTHWHILE * found:
+        turn += 1
+        pairs = stage(_pairs_of_groups(members, turn), "pairs")
+        more = links(pairs)
+        groups = joined(groups, more)
+        members = stage(_still_open(_placed(members.drop("g"), groups)), "open")
+        asked, found = pairs.count(), more.count()
+    final = joined(groups, links(stage(_pairs_across(members, nodes, percent), "pairs")))
     of_set = nodes.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     found = known.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
