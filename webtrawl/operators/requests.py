@@ -30,22 +30,27 @@ def sliding_rate_limit(
     """Add ``in_window`` and ``allowed``: requests of the client in the last ``window_ms``
     up to and including this one, rejected ones counted; equal times follow request_id.
 
-    Work is cut per client and window-long slot. A slot also gets the bare times of the slot
-    before it, which is all the look-back needs, so a hot client is spread over its slots.
+    A request counts one from its time on and one less from the end of its window on, so the
+    count is a running sum. Work is cut per client and window-long slot. A slot also gets the
+    steps of the slot before it, which is all the look-back needs, so a hot client is spread
+    over its slots.
     """
     requests = _with_client(requests)
     slot = F.floor(F.col("ts_ms") / window_ms)
-    own = requests.withColumn("_slot_", slot).withColumn("_own_", F.lit(True))
-    earlier = requests.select("client", "ts_ms", "request_id", (slot + 1).alias("_slot_")).withColumn(
-        "_own_", F.lit(False)
+    step = lambda at, by: F.struct(at.alias("at"), F.lit(by).alias("by"))
+    comes, goes = step(F.col("ts_ms"), 1), step(F.col("ts_ms") + window_ms, -1)
+    own = requests.withColumns({"_slot_": slot, "_step_": comes, "_own_": F.lit(True)})
+    earlier = requests.select(
+        "client", "request_id", (slot + 1).alias("_slot_"),
+        F.explode(F.array(comes, goes)).alias("_step_"), F.lit(False).alias("_own_"),
     )
     both = own.unionByName(earlier, allowMissingColumns=True)
-    trailing = (
-        W.partitionBy("client", "_slot_").orderBy("ts_ms").rangeBetween(-(window_ms - 1), 0)
+    up_to = (
+        W.partitionBy("client", "_slot_")
+        .orderBy("_step_.at", "_step_.by", "request_id")
+        .rowsBetween(W.unboundedPreceding, 0)
     )
-    same_ms = W.partitionBy("client", "_slot_", "ts_ms")
-    later_peers = F.count("*").over(same_ms) - F.row_number().over(same_ms.orderBy("request_id"))
-    counted = both.withColumn("in_window", F.count("*").over(trailing) - later_peers)
+    counted = both.withColumn("in_window", F.sum("_step_.by").over(up_to))
     return (
         counted.filter("_own_")
         .withColumn("allowed", F.col("in_window") <= max_requests)

@@ -151,11 +151,15 @@ def _with_documents(hits: DataFrame, docs: DataFrame, extra: list[str] | None =
 
 
 def expand_prefixes(postings: DataFrame, words: DataFrame) -> DataFrame:
-    """``(word, term)`` for every vocabulary term that starts with a word."""
+    """``(word, term)`` for every vocabulary term that starts with a word. Only prefixes as long
+    as some word are made."""
     vocabulary = over_all_partitions(postings.select("term").distinct(), "term")
+    lengths = words.agg(F.collect_set(F.length("word")).alias("n")).scalar()
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n)
+        F.filter("_lengths_", lambda n: n <= F.length("term")),
+        lambda n: F.substring(F.col("term"), F.lit(1), n),
     )
+    vocabulary = vocabulary.select("term", lengths.alias("_lengths_"))
     return vocabulary.select("term", F.explode(prefixes).alias("word")).join(words, "word").select(
         "word", "term"
     )

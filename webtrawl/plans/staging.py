@@ -1,10 +1,12 @@
 """Tables written once and read back, to cut lineage or to share a result between branches.
 
 The files go to the folder the cluster names in ``spark.checkpoint.dir``, so they outlive
-any executor. Only where that is unset (tests, a laptop) a temporary folder is used.
+any executor. Only on a single machine (tests, a laptop) a temporary folder is used where that is
+unset; on a cluster it must be set.
 """
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="webtrawl-")
     return _local_root
