@@ -39,14 +39,19 @@ BANDS, ROWS = 40, 5
 #: Bands whose buckets all nodes look at first.
 FIRST_BANDS = 4
 REGISTERS = BANDS * ROWS
-#: The geometric scale of the registers: ratio, rate of the hashes, largest value.
-BASE, RATE, TOP = 1.2, 20.0, 254
+#: The geometric scale of the registers: ratio, rate of the hashes, largest value. Unlike sets of
+#: one size agree in a register with a chance of about a quarter of the ratio's excess over 1, by
+#: mere rounding, and in a band with its fifth power: three in 10^12 for this ratio. So the pairs
+#: that meet by chance stay fewer than the sets up to billions of sets.
+BASE, RATE, TOP = 1.02, 20.0, 65_534
 #: Rounds of step 3 go on while one pair in so many is a link; step 4 finds what they leave.
 WORTHWHILE = 50
 #: Pairs estimated lower than this are not verified: more than six standard errors below 0.8.
 LEAST_ESTIMATE = 0.62
 #: Shingles hashed at once.
 _SLICE = 1024
+_REGISTER = np.dtype("<u2")
+_BAND_BYTES = ROWS * _REGISTER.itemsize
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -67,14 +72,14 @@ def shingle_set(tokens: list[bytes], hashes: WordHashes, n: int) -> np.ndarray:
 
 
 def registers(shingles: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One byte per register."""
+    """Two bytes per register."""
     flips, odd = constants
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingles), _SLICE):
         part = (shingles[None, start : start + _SLICE] ^ flips) * odd
         np.minimum(least, part.min(axis=1), out=least)
     exponential = -np.log1p(-np.minimum((least.astype(float) + 0.5) * 2.0**-64, 1 - 1e-16)) / RATE
-    return np.clip(1 + np.floor(-np.log(exponential) / np.log(BASE)), 0, TOP).astype(np.uint8)
+    return np.clip(1 + np.floor(-np.log(exponential) / np.log(BASE)), 0, TOP).astype(_REGISTER)
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -128,7 +133,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS)  # noqa: B023, E731
+            row = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), _REGISTER).reshape(-1, REGISTERS)  # noqa: B023, E731
             size = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
             kept = likely_similarity(row("r_a"), row("r_b"), size("n_a"), size("n_b")) >= LEAST_ESTIMATE
             yield batch.select(["a", "b"]).filter(pa.array(kept))
@@ -159,7 +164,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
 def _bands(count: int = BANDS) -> Column:
     """The keys of the first ``count`` buckets of a register row."""
-    return F.array(*[F.xxhash64(F.lit(j), F.substring("registers", j * ROWS + 1, ROWS)) for j in range(count)])
+    return F.array(*[F.xxhash64(F.lit(j), F.substring("registers", j * _BAND_BYTES + 1, _BAND_BYTES)) for j in range(count)])
 
 
 def _closest(pairs: DataFrame) -> DataFrame:
