@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.llm.common import WordHashes, chained, id_text, text_chunks, words
+from webtrawl.llm.common import chained, id_text, text_chunks, word_hashes, words
 from webtrawl.plans.staging import stage
 
 #: Counts up to here are discounted.
@@ -189,7 +189,7 @@ def batches(docs: DataFrame, held_out: Column) -> DataFrame:
     rows = id_text(docs).withColumn("held", F.coalesce(held_out, F.lit(False)))
 
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, part, made = WordHashes(), TaskContext.get().partitionId(), 0
+        part, made = TaskContext.get().partitionId(), 0
         ids: list = []
         held: list[bool] = []
         tokens: list[np.ndarray] = []
@@ -216,7 +216,7 @@ def batches(docs: DataFrame, held_out: Column) -> DataFrame:
             for i, text, h in zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "text", "held")), strict=True):
                 ids.append(i)
                 held.append(h)
-                tokens.append(np.append(hashes(words(text)), np.uint64(END)))
+                tokens.append(np.append(word_hashes(words(text)), np.uint64(END)))
                 size += len(tokens[-1])
                 if size >= TOKENS_PER_BATCH:
                     yield batch()

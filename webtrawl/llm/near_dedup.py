@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webtrawl.llm.common import WordHashes, among, chained, id_text, text_chunks, words
+from webtrawl.llm.common import among, chained, id_text, text_chunks, word_hashes, words
 from webtrawl.llm.components import components
 from webtrawl.plans.staging import stage
 
@@ -46,8 +46,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.02, 20.0, 65_534
 #: Rounds of step 3 go on while one pair in so many is a link; step 4 finds what they leave.
 WORTHWHILE = 50
-#: Pairs estimated lower than this are not verified: more than six standard errors below 0.8.
-LEAST_ESTIMATE = 0.62
+#: Pairs estimated lower than this are not verified: about five standard errors below 0.8, which
+#: is as rare as missing each other in all bands.
+LEAST_ESTIMATE = 0.66
 #: Shingles hashed at once.
 _SLICE = 1024
 _REGISTER = np.dtype("<u2")
@@ -55,16 +56,16 @@ _BAND_BYTES = ROWS * _REGISTER.itemsize
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
-    flips = np.array([xxhash.xxh3_64_intdigest(b"flip", i) for i in range(REGISTERS)], np.uint64)
-    odd = np.array([xxhash.xxh3_64_intdigest(b"odd", i) | 1 for i in range(REGISTERS)], np.uint64)
+    flips = np.array([xxhash.xxh32_intdigest(b"flip", i) for i in range(REGISTERS)], np.uint32)
+    odd = np.array([xxhash.xxh32_intdigest(b"odd", i) | 1 for i in range(REGISTERS)], np.uint32)
     return flips[:, None], odd[:, None]
 
 
-def shingle_set(tokens: list[bytes], hashes: WordHashes, n: int) -> np.ndarray:
+def shingle_set(tokens: list[bytes], n: int) -> np.ndarray:
     """Sorted distinct 64-bit keys of the word n-grams; of fewer words the whole sequence."""
     if not tokens:
         return np.zeros(0, np.uint64)
-    each, size = hashes(tokens), min(n, len(tokens))
+    each, size = word_hashes(tokens), min(n, len(tokens))
     keys = each[: len(each) - size + 1].copy()
     for k in range(1, size):
         keys = chained(keys, each[k : len(each) - size + 1 + k])
@@ -72,13 +73,15 @@ def shingle_set(tokens: list[bytes], hashes: WordHashes, n: int) -> np.ndarray:
 
 
 def registers(shingles: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Two bytes per register."""
+    """Two bytes per register, from 32 bits of each key under one bijection a register."""
     flips, odd = constants
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), _SLICE):
-        part = (shingles[None, start : start + _SLICE] ^ flips) * odd
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32)
+    for start in range(0, len(short), _SLICE):
+        part = short[None, start : start + _SLICE] ^ flips
+        part *= odd
         np.minimum(least, part.min(axis=1), out=least)
-    exponential = -np.log1p(-np.minimum((least.astype(float) + 0.5) * 2.0**-64, 1 - 1e-16)) / RATE
+    exponential = -np.log1p(-(least.astype(float) + 0.5) * 2.0**-32) / RATE
     return np.clip(1 + np.floor(-np.log(exponential) / np.log(BASE)), 0, TOP).astype(_REGISTER)
 
 
@@ -86,11 +89,11 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n (size of the shingle set), set_id (its 128-bit key), registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, constants = WordHashes(), _constants()
+        constants = _constants()
         for chunk in text_chunks(batches):
             sizes, keys, rows = [], [], []
             for text in chunk.column("text").to_pylist():
-                found = shingle_set(words(text), hashes, shingle)
+                found = shingle_set(words(text), shingle)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                 rows.append(registers(found, constants).tobytes() if len(found) else None)
@@ -127,7 +130,11 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     asked = among(nodes, "node", _sides(pairs))
     side = lambda x: asked.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    rows = rows.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return _estimated(rows.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
+
+
+def _estimated(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``rows``, with sizes n_ and register rows r_, that may be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +155,13 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), (None, None)
+        last = None, None
         for chunk in text_chunks(batches, "t_a"):
             kept = []
             for t_a, t_b in zip(chunk.column("t_a").to_pylist(), chunk.column("t_b").to_pylist(), strict=True):
                 if last[0] != t_b:
-                    last = t_b, shingle_set(words(t_b), hashes, shingle)
-                x, y = shingle_set(words(t_a), hashes, shingle), last[1]
+                    last = t_b, shingle_set(words(t_b), shingle)
+                x, y = shingle_set(words(t_a), shingle), last[1]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield chunk.select(["a", "b"]).filter(pa.array(kept))
@@ -200,10 +207,12 @@ def _pairs_of_groups(members: DataFrame, turn: int) -> DataFrame:
     return _closest(met.select("a", F.col("top.a").alias("b")))
 
 
-def _pairs_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in one bucket, each once, from the first they share."""
-    keyed = members.join(among(nodes, "node", members.select("node")).select("node", _bands().alias("bands")), "node")
-    x, y = (keyed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "g", "bands")]) for s in "xy")
+def _likely_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in one bucket that may be links, each once, from the first
+    bucket they share. Registers travel with the buckets' members, so pairs are never shuffled."""
+    asked = among(nodes, "node", members.select("node")).select("node", "registers", _bands().alias("bands"))
+    keyed = members.select("bucket", "node", "n", "g").join(asked, "node")
+    x, y = (keyed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "g", "registers", "bands")]) for s in "xy")
     across = x.join(
         y,
         (x.bucket == y.bucket)
@@ -211,7 +220,8 @@ def _pairs_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFra
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & (F.array_intersect("bands_x", "bands_y")[0] == x.bucket),
     )
-    return across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    sides = [F.col(f"{c}_{s}").alias(f"{d}{t}") for c, d in (("node", ""), ("n", "n_"), ("registers", "r_")) for s, t in ("xa", "yb")]
+    return _estimated(across.select(*sides))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,26 +246,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         F.min("node").alias("low"), F.max("node").alias("high")
     ).where("low <> high").select(F.col("low").alias("u"), F.col("high").alias("v"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = stage(likely_pairs(pairs, nodes), "likely")
-        return stage(verified(likely, rows, shingle, percent), "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def links(likely: DataFrame) -> DataFrame:
+        found = verified(stage(likely, "likely"), rows, shingle, percent)
+        return stage(found, "verified").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def joined(groups: DataFrame, more: DataFrame) -> DataFrame:
         stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
         return stage(components(stars.union(more)), "groups")
 
-    groups = stage(components(links(stage(_first_pairs(nodes), "pairs")).union(tied)), "groups")
+    groups = stage(components(links(likely_pairs(stage(_first_pairs(nodes), "pairs"), nodes)).union(tied)), "groups")
     members = _placed(nodes.select("node", "n", "registers"), groups).select("node", "n", "g", F.explode(_bands()).alias("bucket"))
     members = stage(_still_open(members), "open")
     turn, asked, found = 0, 1, 1
     while asked < WORTHWHILE * found:
         turn += 1
         pairs = stage(_pairs_of_groups(members, turn), "pairs")
-        more = links(pairs)
+        more = links(likely_pairs(pairs, nodes))
         groups = joined(groups, more)
         members = stage(_still_open(_placed(members.drop("g"), groups)), "open")
         asked, found = pairs.count(), more.count()
-    final = joined(groups, links(stage(_pairs_across(members, nodes, percent), "pairs")))
+    final = joined(groups, links(_likely_across(members, nodes, percent)))
     of_set = nodes.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     found = known.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
