@@ -42,7 +42,8 @@ def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS)
 
     The keys' hashes are first marked in a bitmap of ``bits`` bits, 8 MB at the most whatever the
     number of keys, that every task gets. Only rows with a marked hash are shuffled for the join;
-    with more keys than bits that saves less, and the result is the same.
+    with more keys than bits that saves less, and the result is the same. The join with the keys is
+    an inner one, as a semi join would be moved below the marking.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     key = keys.select(F.col(keys.columns[0]).alias("_key")).where("_key is not null")
@@ -55,7 +56,7 @@ def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS)
     marked = own.withColumn("_part", F.bitmap_bucket_number("_place")).join(F.broadcast(bitmap), "_part").where(
         byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) != 0
     )
-    return marked.select(*df.columns).join(key.distinct(), F.col(column) == F.col("_key"), "left_semi")
+    return marked.select(*df.columns).join(key.distinct(), F.col(column) == F.col("_key")).drop("_key")
 
 
 def text_chunks(
