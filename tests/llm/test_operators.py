@@ -298,6 +298,29 @@ def test_languages(spark, docs, nothing):
     assert language_id.learn_languages(nothing.withColumn("lang", F.lit("en")), F.lit(True)) == {}
 
 
+def test_a_rare_and_a_letterless_language_leave_the_others_their_sample(spark):
+    rows = [(i * 3 + k, mixed(t, i), lang) for k, (lang, t) in enumerate(LANGUAGES.items()) for i in range(40)]
+    fi = "talossa on suuri puutarha ja lapset leikkivät siellä usein aamulla"
+    rows += [(400, fi[:40], "fi"), (401, fi, "fi"), (402, "12 34 -- 56", "aa"), (404, "", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.learn_languages(df, F.col("doc_id") % 2 == 0)
+    size = {lang: len(data) for lang, data in learned.items()}
+    assert set(size) == {*LANGUAGES, "fi"} and size["fi"] < 50 and min(size[k] for k in LANGUAGES) > 5_000
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, learned).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang != "aa")
+    assert got[402] == got[404] == "und"
+
+
+def test_dictionaries_of_unlike_length_keep_their_own_bytes(spark):
+    texts = [(i, f"Good prose about gardens, number {i} of many, with words.", 1) for i in range(300)]
+    texts += [(1000 + i, f"BUY!!! {i} NOW $$$", 0) for i in range(4)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    model = quality.learn_quality(df, df.select("doc_id", "quality"), F.lit(True))
+    assert len(model.texts[1]) > 5_000 > len(model.texts[0]) > 0
+    got = {r.doc_id: r.good for r in quality.score_quality(df, model).collect()}
+    assert all(got[i] == bool(q) for i, _, q in texts)
+
+
 def test_quality(spark, docs, nothing):
     junk = lambda t: " ".join(w.upper() + "!!" for w in t.split())
     texts = [(i, mixed(t, i) if q else junk(mixed(t, i)), q) for i, (t, q) in enumerate((t, q) for t in LANGUAGES.values() for q in (0, 1) for _ in range(60))]
