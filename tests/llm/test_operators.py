@@ -440,6 +440,32 @@ def test_leaks(spark, docs, nothing, monkeypatch):
     assert all(not r.hits for r in decontamination.find_leaks(df, items.limit(0)).collect())
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    draw = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.4, n) % 500)
+    items = [(i, f"{draw(30)}? {draw(8)} rare{i}") for i in range(60)]
+    rows = [(i, f"{draw(50)} {items[i % 60][1]} {draw(50)}") for i in range(120)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (8 << 20, 4_000, 100):  # one index, several, and about one an item
+        monkeypatch.setattr(decontamination, "INDEX_BYTES", size)
+        found.append(by_id(decontamination.find_leaks(df, bench).collect()))
+    assert all(r.hits for r in found[0])
+    assert found[0] == found[1] == found[2]
+    # the scores by their definition, over all items
+    cut = {i: tokens_of(t) for i, t in items}
+    freq, mean = Counter(t for w in cut.values() for t in set(w)), sum(map(len, cut.values())) / len(cut)
+    def impacts(w):
+        norm = 1.2 * (0.25 + 0.75 * len(w) / mean)
+        return {t: math.log(1 + (60 - freq[t] + 0.5) / (freq[t] + 0.5)) * n * 2.2 / (n + norm) for t, n in Counter(w).items()}
+    for r in found[0]:
+        tokens = tokens_of(rows[r.doc_id][1])
+        for hit in r.hits:
+            own = impacts(cut[hit.item_id])
+            best = max(sum(x for t, x in own.items() if t in tokens[a : a + 96]) for a in range(0, len(tokens), 48))
+            assert hit.score == pytest.approx(best / sum(own.values()))
+
+
 def test_block_max_wand_finds_all_above_the_threshold(monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK", 4)
     rng = np.random.default_rng(2)

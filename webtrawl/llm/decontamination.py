@@ -13,21 +13,30 @@ threshold are walked.
 A retrieved item counts as leaked if both its question and its answer overlap with the passage's
 surroundings in word n-grams.
 
-The items are cut into indexes of bounded bytes, which travel with the tasks one after another.
+Document frequencies, number and mean length of the items are counted over the whole benchmark.
+The items are cut into indexes of bounded bytes, which Spark tasks build and write below the
+shared folder; the tasks on passages read them one after another. The driver holds counts and
+file names only, and no score depends on the number of indexes.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webtrawl.llm.common import id_text, text_chunks, words
+from webtrawl.llm.token_files import _place
+from webtrawl.plans.staging import new_folder, stage
 
 K1, B = 1.2, 0.75
 WINDOW, STEP = 96, 48
@@ -36,6 +45,8 @@ SCORE_SHARE, OVERLAP, NGRAM = 0.5, 0.5, 4
 BLOCK = 64
 #: Bytes of items in one index.
 INDEX_BYTES = 8 << 20
+#: Chunks of passages for which each of several indexes is read once.
+GROUP_CHUNKS = 8
 
 HIT = "item_id: bigint, score: double, question: double, answer: double"
 _PASS = f"doc_id long, text string, kept {{kept}}, passages long, hits array<struct<{HIT}>>"
@@ -115,7 +126,7 @@ def block_max_wand(lists: list[PostingList], threshold: float = 1.0) -> list[tup
             for p in lists[: pivot + 1]:
                 p.seek(after)
         elif lists[0].item() == item:
-            score = sum(p.impacts[p.at] for p in lists[: pivot + 1])
+            score = math.fsum(p.impacts[p.at] for p in lists[: pivot + 1])  # in any order the same
             if score >= threshold:
                 out.append((item, score))
             for p in lists[: pivot + 1]:
@@ -126,17 +137,15 @@ def block_max_wand(lists: list[PostingList], threshold: float = 1.0) -> list[tup
 
 
 class ItemIndex:
-    """Inverted index of some items: (item_id, text) pairs."""
+    """Inverted index of some items: (item_id, text) pairs. ``df`` has the number of items with
+    a word, for all words of these items, out of all ``total`` items of mean length ``mean``."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        cut = [(i, words(text)) for i, text in items]
-        cut = sorted((i, w) for i, w in cut if i is not None and w)
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], total: int, mean: float) -> None:
+        cut = sorted((i, words(text)) for i, text in items)
         self.ids, self.tokens = [i for i, _ in cut], [w for _, w in cut]
         counts = [Counter(w) for w in self.tokens]
         n, lengths = len(cut), [len(w) for w in self.tokens]
-        mean = sum(lengths) / max(1, n)
-        df = Counter(t for c in counts for t in c)
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        idf = {t: math.log(1 + (total - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
         for i, c in enumerate(counts):
@@ -205,14 +214,48 @@ class ItemIndex:
         return windows, [best[i] for i in sorted(best)]
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[ItemIndex]:
-    """Indexes of about ``INDEX_BYTES`` of items each. Repeats of an item count once; items with
-    a null id or no word are left out."""
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in text_chunks(batches):
+        each = [words(t) for t in chunk.column("text").to_pylist()]
+        sizes, terms = pa.array([len(w) for w in each], pa.int64()), pa.array([list(set(w)) for w in each], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([*chunk.columns, sizes, terms], [*chunk.schema.names, "n_words", "terms"])
+
+
+def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Writes indexes of about ``INDEX_BYTES`` of items each below the shared folder and returns
+    their paths. Repeats of an item count once; items with a null id or no word are left out."""
     rows = id_text(items, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    total = rows.agg(F.sum(F.octet_length("text").cast("long") + 64).alias("n")).first()["n"] or 0
-    n = -(-total // INDEX_BYTES)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n)))
-    return [ItemIndex([tuple(r) for r in rows.where(part == k).collect()]) for k in range(n)]
+    cut = rows.mapInArrow(_words_of, "doc_id long, text string, n_words long, terms array<binary>").where("n_words > 0")
+    cut = stage(cut, "leak-items")
+    size = F.sum(F.octet_length("text").cast("long") + 64)
+    total, mean, n_bytes = cut.agg(F.count("*"), F.avg("n_words"), size).first()
+    if not total:
+        return []
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-n_bytes // INDEX_BYTES))).alias("part")
+    words_in = cut.select(part, F.explode("terms").alias("term"))
+    frequencies = words_in.groupBy("part", "term").agg(F.count("*").alias("n"))
+    over_all = frequencies.groupBy("term").agg(F.sum("n").alias("df"))
+    known = frequencies.select("part", "term").join(over_all, "term").select("part", "term", "df")
+    folder = new_folder(items.sparkSession, "leak-indexes")
+
+    def build(of_part: pa.Table, terms: pa.Table) -> pa.Table:
+        pairs = zip(of_part.column("doc_id").to_pylist(), of_part.column("text").to_pylist(), strict=True)
+        df = dict(zip(terms.column("term").to_pylist(), terms.column("df").to_pylist(), strict=True))
+        name, (fs, root) = uuid.uuid4().hex, _place(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{name}.index") as f:
+            f.write(cloudpickle.dumps(ItemIndex(list(pairs), df, total, mean)))
+        return pa.table({"part": of_part.column("part").slice(0, 1), "name": [name]})
+
+    by_part = cut.select(part, "doc_id", "text").groupBy("part").cogroup(known.groupBy("part"))
+    written = by_part.applyInArrow(build, "part long, name string").collect()  # one short row per index
+    return [f"{folder}/{r.name}.index" for r in sorted(written, key=lambda r: r.part)]
+
+
+def _index(path: str) -> ItemIndex:
+    fs, where = _place(path)
+    with fs.open_input_file(where) as f:
+        return pickle.loads(f.read())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -226,25 +269,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col], F.lit(0).alias("_")).alias("kept")
     key, text = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
-    none = F.array().cast(f"array<struct<{HIT}>>")
-    found = docs.select(key, text, kept, F.lit(0).cast("long").alias("passages"), none.alias("hits"))
+    found = docs.select(key, text, kept)
     schema = _PASS.format(kept=found.schema["kept"].dataType.simpleString())
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
-    def with_index(index: ItemIndex):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk in text_chunks(batches):
-                each = [index.hits(words(t)) for t in chunk.column("text").to_pylist()]
-                more = [[*old, *new] for old, (_, new) in zip(chunk.column("hits").to_pylist(), each, strict=True)]
+    paths = indexes(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, index = text_chunks(batches), None
+        while group := list(islice(chunks, GROUP_CHUNKS if len(paths) > 1 else 1)):
+            passages, hits = [[0] * c.num_rows for c in group], [[[] for _ in range(c.num_rows)] for c in group]
+            for path in paths:
+                index = index if index and len(paths) == 1 else _index(path)
+                for k, chunk in enumerate(group):
+                    each = [index.hits(words(t)) for t in chunk.column("text").to_pylist()]
+                    passages[k] = [n for n, _ in each]
+                    hits[k] = [[*old, *new] for old, (_, new) in zip(hits[k], each, strict=True)]
+            for chunk, n, found in zip(group, passages, hits, strict=True):
                 columns = [chunk.column(c) for c in ("doc_id", "text", "kept")]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([n for n, _ in each], pa.int64()), pa.array(more, kind)],
-                    ["doc_id", "text", "kept", "passages", "hits"],
+                    [*columns, pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "text", "kept", "passages", "hits"]
                 )
 
-        return run
-
-    for index in indexes(items):
-        found = found.mapInArrow(with_index(index), schema)
+    found = found.mapInArrow(run, schema)
     passed = [F.col("text" if c == text_col else f"kept.`{c}`").alias(c) for c in keep]
     return found.select("doc_id", "passages", F.array_sort("hits").alias("hits"), *passed)
