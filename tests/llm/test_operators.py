@@ -200,6 +200,13 @@ def test_near_duplicates_lose_no_link(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_an_id_ties_all_its_texts_together(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    rows = [(5, text("a")), (5, text("b")), (3, text("b")), (5, text("c")), (4, text("c")), (9, text("a")), (7, text("d"))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (4, 3), (5, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 300)] + [(500, j) for j in range(501, 900)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))

@@ -242,9 +242,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         "sets",
     )
     # rows that share an id tie their sets together, whatever these are
-    tied = usable.select("doc_id", "set_id").join(nodes.select("set_id", "node"), "set_id").where("doc_id <> node").groupBy("doc_id").agg(
-        F.min("node").alias("low"), F.max("node").alias("high")
-    ).where("low <> high").select(F.col("low").alias("u"), F.col("high").alias("v"))
+    of_row = usable.select("doc_id", "set_id").join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node")
+    several = of_row.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("high")).where("u <> high").select("doc_id", "u")
+    tied = of_row.join(several, "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct()
 
     def links(likely: DataFrame) -> DataFrame:
         found = verified(stage(likely, "likely"), rows, shingle, percent)
