@@ -59,6 +59,21 @@ def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS)
     return marked.select(*df.columns).join(key.distinct(), F.col(column) == F.col("_key")).drop("_key")
 
 
+def flagged(df: DataFrame, mark: Column, marks: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with the boolean ``name``: whether the hash ``mark`` is one of the hashes in the only
+    column of ``marks``. True may be wrong (two hashes on one bit), false never is. Every task gets
+    a bitmap of ``bits`` bits, 8 MB at the most whatever the number of hashes; nothing is shuffled."""
+    place = F.pmod(F.col("_mark"), F.lit(bits)) + 1
+    bitmap = marks.toDF("_mark").select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")
+    )
+    bit = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8).cast("int") + 1)) != 0
+    own = df.withColumn("_mark", mark).withColumn("_place", place).withColumn("_part", F.bitmap_bucket_number("_place"))
+    return own.join(F.broadcast(bitmap), "_part", "left").select(*df.columns, F.coalesce(is_set, F.lit(False)).alias(name))
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:
