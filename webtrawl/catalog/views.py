@@ -191,14 +191,12 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as pages: first line as title, the rest as description (cut like a parsed
-    description) and, whole, as content."""
+    """Documents as pages: first line as title, the rest as description, all of it as content."""
     rest = F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1)
     return documents(spark, sf).select(
         F.concat(F.lit("doc://"), "doc_id").alias("url"),
         F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"),
-        F.substring(rest, 1, 1000).alias("description"),
-        F.substring(rest, 1, 1000).alias("metaDescription"),
+        rest.alias("description"), rest.alias("metaDescription"),
         F.lit("").alias("ogTitle"), F.lit("").alias("ogDescription"),
         F.col("source").alias("domain"), F.col("text").alias("content"), "lang",
         (F.lit(1) + F.col("doc_id") % 97).cast("int").alias("popularity"),
@@ -337,8 +335,8 @@ CTES = {
   FROM pages c LEFT JOIN pages p ON c.page_id > 0 AND p.page_id = (c.page_id - 1) // 2""",
     "search_docs": r"""
   SELECT 'doc://' || doc_id AS url, regexp_extract(text, '^([^\n]*)', 1) AS title,
-    substr(regexp_extract(text, '(?s)^[^\n]*\n(.*)$', 1), 1, 1000) AS description,
-    substr(regexp_extract(text, '(?s)^[^\n]*\n(.*)$', 1), 1, 1000) AS "metaDescription",
+    regexp_extract(text, '(?s)^[^\n]*\n(.*)$', 1) AS description,
+    regexp_extract(text, '(?s)^[^\n]*\n(.*)$', 1) AS "metaDescription",
     '' AS "ogTitle", '' AS "ogDescription", source AS domain, text AS content, lang,
     CAST(1 + doc_id % 97 AS INTEGER) AS popularity FROM documents""",
     "doc_pages": r"""

@@ -1,86 +1,49 @@
 """Batched full-text search: many queries against many documents in one job.
 
-``build_index`` turns documents into one postings table. A posting carries the lengths that
-scoring needs, so a search joins the postings once, with the few vocabulary terms its words
-expand to, and never scans document text. Words are always matched against the distinct
-vocabulary first, by equality keys, not by comparing every word with every term.
+All engines work on a stored index (``operators.search_index``). Words are matched against its
+dictionaries first, by equality keys, and the counts that scoring needs are read there, so a search
+reads the postings of the few terms its words expand to and never scans document text. Where all
+words must match, the documents of the rarest word are found first and the postings of the other
+words are only kept for these.
 """
 
-from dataclasses import dataclass
-
-import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from webtrawl.functions.stemming import STOP_WORDS, stem
+from webtrawl.functions.stemming import STOP_WORDS
 from webtrawl.functions.text import query_terms, sanitize_query, tokens
 from webtrawl.operators.pages import result_view
-from webtrawl.plans.hotkeys import over_all_partitions
-from webtrawl.plans.staging import spread, stage
+from webtrawl.operators.search_index import (
+    NEAR_LETTERS,
+    NODE_FIELDS,
+    PREFIX_LETTERS,
+    STEMMED_FIELDS,
+    SearchIndex,
+    build_postings,
+    create_index,
+    deletions,
+    near_keys,
+    stem_words,
+)
+from webtrawl.plans.staging import stage
 from webtrawl.settings import HITS_PER_QUERY
 
-NODE_FIELDS = ["url", "title", "description", "metaDescription", "ogTitle", "ogDescription", "domain"]
+# The fields of the fuzzy search and what each counts.
 FUZZY_BOOSTS = {
     "title": 3.0, "metaDescription": 2.0, "ogTitle": 2.0, "ogDescription": 1.0, "content": 1.0,
 }
-STEMMED_FIELDS = ["title", "metaDescription", "ogTitle", "domain"]
 HIT_COLUMNS = ["url", "title", "metaDescription", "ogTitle", "ogDescription", "domain"]
 K1, B = 1.2, 0.75
+#: Places beyond which two words do not count as near each other.
+PLACES = 100
 
 
-@dataclass
-class SearchIndex:
-    """Documents (one row per url) and their postings: ``url, field, term, tf, field_len,
-    doc_len, first_term``. ``first_term`` marks one posting of each non-empty field."""
-
-    docs: DataFrame
-    postings: DataFrame
-
-
-def build_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """Term counts per document and field, computed inside the row: the tokens are sorted and
-    counted as runs, so no shuffle is needed to group them."""
-    analysed = spread(docs.select("url", *[f for f in fields if f != "url"]), "url").select(
-        "url", *[F.array_sort(tokens(f)).alias(f"_t{i}_") for i, f in enumerate(fields)]
-    )
-    doc_len = sum((F.size(f"_t{i}_") for i in range(1, len(fields))), F.size("_t0_"))
-    per_field = analysed.select(
-        "url",
-        doc_len.alias("doc_len"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(f).alias("field"), F.col(f"_t{i}_").alias("toks"))
-                    for i, f in enumerate(fields)
-                ]
-            )
-        ).alias("_f_"),
-    ).select("url", "doc_len", "_f_.field", "_f_.toks").filter(F.size("toks") > 0)
-    starts = per_field.withColumn(
-        "starts",
-        F.filter(
-            F.sequence(F.lit(1), F.size("toks")),
-            lambda i: (i == 1) | (F.get("toks", i - 1) != F.get("toks", i - 2)),
-        ),
-    )
-    runs = F.transform(
-        F.col("starts"),
-        lambda at, k: F.struct(
-            F.get("toks", at - 1).alias("term"),
-            (F.coalesce(F.get("starts", k + 1), F.size("toks") + 1) - at).alias("tf"),
-            (k == 0).alias("first_term"),
-        ),
-    )
-    return starts.select(
-        "url", "field", "doc_len", F.size("toks").alias("field_len"), F.explode(runs).alias("_r_")
-    ).select("url", "field", "_r_.term", "_r_.tf", "field_len", "doc_len", "_r_.first_term")
-
-
-def build_index(docs: DataFrame, fields: list[str] | None = None) -> SearchIndex:
-    """Index ``docs``; the postings are written once to the shared folder and reused."""
-    return SearchIndex(docs, stage(build_postings(docs, fields or NODE_FIELDS), "postings"))
+def build_index(docs: DataFrame, fields: list[str] | None = None, **names) -> SearchIndex:
+    """A stored index of ``docs`` with ``fields`` searched as one document; see ``create_index``."""
+    return create_index(docs, fields=fields or NODE_FIELDS, document_fields=fields, **names)
 
 
 def corpus_stats(postings: DataFrame) -> DataFrame:
@@ -115,6 +78,13 @@ def index_needs_rebuild(nodes: DataFrame, indexed: DataFrame, ratio: float = 0.8
     )
 
 
+def _indexed(index: SearchIndex | DataFrame) -> SearchIndex:
+    """The index, or one of these documents that serves all engines."""
+    if isinstance(index, DataFrame):
+        return create_index(index, fields=[*dict.fromkeys([*NODE_FIELDS, *STEMMED_FIELDS, *FUZZY_BOOSTS])])
+    return index
+
+
 # --------------------------------------------------------------------------- queries
 
 
@@ -142,18 +112,25 @@ def top_hits(scores: DataFrame, k: int = HITS_PER_QUERY) -> DataFrame:
     return ranked.filter(F.col("_rn_") <= k).drop("_rn_")
 
 
-def _with_documents(hits: DataFrame, docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def _ranked(scores: DataFrame, index: SearchIndex, k: int, extra: list[str] | None = None) -> DataFrame:
+    """The ``k`` best documents per query of ``(query_id, doc, score)`` with their columns; ties by
+    url. The k-th score comes first, cut to ``k`` rows per query and task before the shuffle; urls
+    are looked up for the documents that reach it, and a second cut orders those that tie."""
+    scores = stage(scores, "scores")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+    first = scores.withColumn("_rn_", F.row_number().over(best)).filter(F.col("_rn_") <= k)
+    least = first.groupBy("query_id").agg(F.min("score").alias("_least_"))
+    close = scores.join(least, "query_id").filter(F.col("score") >= F.col("_least_"))
+    docs = index.docs()
     wanted = [*HIT_COLUMNS, *(extra or [])]
-    have = [
-        F.col(c) if c in docs.columns else F.lit("").alias(c) for c in wanted
-    ]
-    return hits.join(docs.select(*have), "url").select("query_id", *wanted, "rank")
+    have = [F.col(c) if c in docs.columns else F.lit("").alias(c) for c in wanted]
+    named = stage(top_hits(close.join(docs.select("doc", "url"), "doc"), k), "named").drop("url")
+    return named.join(docs.select("doc", *have), "doc").select("query_id", *wanted, "score")
 
 
-def expand_prefixes(postings: DataFrame, words: DataFrame) -> DataFrame:
+def expand_prefixes(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     """``(word, term)`` for every vocabulary term that starts with a word. Only prefixes as long
     as some word are made."""
-    vocabulary = over_all_partitions(postings.select("term").distinct(), "term")
     lengths = words.agg(F.collect_set(F.length("word")).alias("n")).scalar()
     prefixes = F.transform(
         F.filter("_lengths_", lambda n: n <= F.length("term")),
@@ -165,125 +142,138 @@ def expand_prefixes(postings: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def search_prefix(
-    index: SearchIndex, queries: DataFrame, k: int = HITS_PER_QUERY
-) -> DataFrame:
+def matching_all(postings: DataFrame, wanted: DataFrame, expanded: DataFrame) -> DataFrame:
+    """The postings of the documents that may hold all words of a query: ``query_id, word`` and the
+    columns of ``postings``. ``wanted`` is ``(query_id, word, n)`` with the number of documents
+    that hold the word, ``expanded`` the ``(word, term)`` pairs.
+
+    Each query starts from its rarest word. The others' postings are looked up by (word, document)
+    and only those of documents found so far go on; a frequent word's list is never grouped.
+    """
+    by_n = W.partitionBy("query_id").orderBy("n", "word")
+    ordered = stage(wanted.withColumn("_at_", F.row_number().over(by_n)), "ordered")
+    lead = ordered.filter(F.col("_at_") == 1).select("query_id", "word")
+    rest = ordered.filter(F.col("_at_") > 1).select("query_id", "word")
+    first = stage(
+        postings.join(expanded.join(lead, "word"), "term").select("query_id", "word", *postings.columns), "lead"
+    )
+    asked = rest.join(first.select("query_id", "doc").distinct(), "query_id")
+    terms = expanded.join(rest.select("word").distinct(), "word", "left_semi")
+    others = postings.join(terms, "term").join(asked, ["word", "doc"])
+    return first.unionByName(others.select(first.columns))
+
+
+def _document_counts(index: SearchIndex, words: DataFrame, expanded: DataFrame) -> DataFrame:
+    """``(word, n)``: how many documents hold a word that starts with it, from the dictionary; words
+    longer than the prefixes it has are counted."""
+    counted = words.join(index.prefixes(), F.col("word") == F.col("prefix")).select("word", F.col("docs").alias("n"))
+    long = expanded.filter(F.length("word") > PREFIX_LETTERS)
+    if long.isEmpty():
+        return counted
+    postings = index.postings().filter(F.col("field").isin(index.document_fields))
+    return counted.unionByName(postings.join(long, "term").groupBy("word").agg(F.count_distinct("doc").alias("n")))
+
+
+def search_prefix(index: SearchIndex, queries: DataFrame, k: int = HITS_PER_QUERY) -> DataFrame:
     """Every word is a prefix and every word must match; BM25 over the whole document.
 
     A word's matches count as one phrase: its frequency is that of all terms it covers. The
     inverse document frequency has a floor of 1e-6. ``rank`` is the negated score.
     """
-    words = stage(query_words(queries), "words")
-    expanded = stage(
-        expand_prefixes(index.postings, words.select("word").distinct()), "expanded"
-    )
-    found = (
-        index.postings.join(expanded, "term")
-        .groupBy("word", "url")
-        .agg(F.sum("tf").alias("f"), F.max("doc_len").alias("dl"))
+    every = query_words(queries).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    words = stage(every, "words")
+    expanded = stage(expand_prefixes(index.vocabulary(), words.select("word").distinct()), "expanded")
+    counts = _document_counts(index, words.select("word").distinct(), expanded)
+    known = words.join(counts, "word", "left").withColumn(
+        "words", F.count("*").over(W.partitionBy("query_id"))
+    ).withColumn("known", F.count("n").over(W.partitionBy("query_id")))
+    known = stage(known.filter(F.col("words") == F.col("known")).drop("known"), "known")
+    postings = index.postings().filter(F.col("field").isin(index.document_fields)).select("term", "doc", "tf", "doc_len")
+    found = matching_all(postings, known.select("query_id", "word", "n"), expanded).groupBy("query_id", "doc", "word").agg(
+        F.sum("tf").alias("f"), F.max("doc_len").alias("dl")
     )
-    # Both columns are read, though never 0, so that this branch and the scores share one shuffle.
-    matches = F.count_if((F.col("f") > 0) & (F.col("dl") > 0))
-    spread_n = found.groupBy("word").agg(matches.alias("n"))
-    docs_n = index.docs.agg(F.count("*").cast("double").alias("n")).scalar()
-    tokens_n = index.postings.agg(F.sum("tf").cast("double").alias("n")).scalar()
+    whole = index.field_counts().filter(F.col("field") == "")
+    docs_n = whole.agg(F.sum("docs").cast("double")).scalar()
+    tokens_n = whole.agg(F.sum("tokens").cast("double")).scalar()
     idf = F.greatest(F.ln((docs_n - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     norm = K1 * (1 - B + B * F.col("dl") / (tokens_n / docs_n))
-    scored = found.join(spread_n, "word").select(
-        "word", "url", (idf * F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("s")
-    )
-    needed = words.groupBy("query_id").agg(F.count("*").alias("_needed_"))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + norm)
     scores = (
-        words.join(scored, "word")
-        .groupBy("query_id", "url")
-        .agg(F.count("*").alias("_got_"), F.round(F.sum("s"), 9).alias("score"))
-        .join(needed, "query_id")
-        .filter(F.col("_got_") == F.col("_needed_"))
-        .select("query_id", "url", "score")
+        found.join(known, ["query_id", "word"])
+        .groupBy("query_id", "doc")
+        .agg(F.count("*").alias("_got_"), F.max("words").alias("words"), F.round(F.sum(F.col("times") * part), 9).alias("score"))
+        .filter(F.col("_got_") == F.col("words"))
+        .select("query_id", "doc", "score")
     )
-    hits = top_hits(scores, k).withColumn("rank", -F.col("score"))
-    return _with_documents(hits, index.docs)
+    return _ranked(scores, index, k).withColumn("rank", -F.col("score")).drop("score")
 
 
 # --------------------------------------------------------------------------- stemmed
 
 
-@F.pandas_udf(T.StringType())
-def _stem_words(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
-
-
-def search_stemmed(
-    docs: DataFrame, queries: DataFrame, k: int = HITS_PER_QUERY, fields: list[str] | None = None
-) -> DataFrame:
-    """English analysis of the joined fields; every non-stop word must match by its stem.
+def search_stemmed(index: SearchIndex | DataFrame, queries: DataFrame, k: int = HITS_PER_QUERY) -> DataFrame:
+    """English analysis of the joined phrase fields; every non-stop word must match by its stem.
 
-    The stemmer sees the distinct vocabulary and the query words only. One word: each
-    occurrence adds 0.1 / n^2. Several words: pairs of occurrences of different words add up
-    as probabilities that fall with their distance in the text.
+    The stems of terms and the places of words are in the index. One word: each occurrence adds
+    0.1 / n^2. Several words: pairs of occurrences of different words add up as probabilities that
+    fall with their distance in the text.
     """
-    joined = F.array_join(
-        F.array(*[F.coalesce(f, F.lit("")) for f in fields or STEMMED_FIELDS]), " "
-    )
-    text = spread(docs.select("url", joined.alias("text")), "url")
-    placed = text.select("url", F.posexplode(tokens("text")).alias("at", "term"))
-    wanted = (
+    index = _indexed(index)
+    wanted = stage(
         query_words(queries)
         .filter(~F.col("word").isin(STOP_WORDS))
-        .withColumn("stem", _stem_words("word"))
-        .select("query_id", "stem")
-        .distinct()
-    )
-    terms = placed.select("term").filter(~F.col("term").isin(STOP_WORDS)).distinct()
-    vocabulary = stage(
-        over_all_partitions(terms, "term")
-        .withColumn("stem", _stem_words("term"))
-        .join(wanted.select("stem").distinct(), "stem"),
+        .withColumn("word", stem_words("word"))
+        .select("query_id", "word")
+        .distinct(),
         "stems",
     )
-    found = (
-        placed.join(vocabulary, "term")
-        .groupBy("stem", "url")
-        .agg(F.array_sort(F.collect_list("at")).alias("at"))
+    expanded = stage(
+        index.vocabulary().filter(~F.col("term").isin(STOP_WORDS)).withColumnRenamed("stem", "word")
+        .join(wanted.select("word").distinct(), "word").select("word", "term"),
+        "stem_terms",
     )
-    needed = wanted.groupBy("query_id").agg(F.count("*").alias("_needed_"))
-    matched = (
-        wanted.join(found, "stem")
-        .groupBy("query_id", "url")
-        .agg(F.array_sort(F.collect_list(F.struct("stem", "at"))).alias("_m_"))
-        .join(needed, "query_id")
-        .filter(F.size("_m_") == F.col("_needed_"))
+    in_phrase = F.col("field").isin(index.phrase_fields)
+    dfs = index.terms().filter(in_phrase).join(expanded, "term").groupBy("word").agg(F.sum("df").alias("n"))
+    known = wanted.join(dfs, "word", "left").withColumn("words", F.count("*").over(W.partitionBy("query_id")))
+    known = known.withColumn("known", F.count("n").over(W.partitionBy("query_id")))
+    known = stage(known.filter(F.col("words") == F.col("known")).drop("known"), "known")
+    postings = index.postings().filter(in_phrase).select("term", "doc", "at")
+    found = (
+        matching_all(postings, known.select("query_id", "word", "n"), expanded)
+        .groupBy("query_id", "doc")
+        .agg(F.collect_list(F.struct("word", "at")).alias("_m_"))
+        .join(known.groupBy("query_id").agg(F.max("words").alias("words")), "query_id")
     )
-    scores = matched.select("query_id", "url", F.round(_stemmed_rank(F.col("_m_")), 9).alias("score"))
-    hits = top_hits(scores, k).withColumn("rank", F.col("score"))
-    return _with_documents(hits, docs)
+    different = F.array_distinct(F.transform("_m_", lambda m: m["word"]))
+    matched = found.filter(F.size(different) == F.col("words"))
+    scores = matched.select("query_id", "doc", F.round(_stemmed_rank(F.col("_m_"), F.col("words")), 9).alias("score"))
+    return _ranked(scores, index, k).withColumnRenamed("score", "rank")
 
 
-def _stemmed_rank(matches: Column) -> Column:
+def _stemmed_rank(matches: Column, words: Column) -> Column:
+    """From ``(word, at)`` entries. A pair's weight is nothing beyond 100 places, and a place holds
+    one word, so each place is compared with the hundred entries before it in the text."""
     zero = F.lit(0.0)
-    occurrences = F.size(F.get(matches, 0)["at"])
+    entries = F.array_sort(
+        F.flatten(F.transform(matches, lambda m: F.transform(m["at"], lambda p: F.struct(p.alias("p"), m["word"].alias("w")))))
+    )
     single = F.aggregate(
-        F.sequence(F.lit(1), occurrences), zero, lambda acc, n: acc + 0.1 / (n * n)
+        F.sequence(F.lit(1), F.size(entries)), zero, lambda acc, n: acc + 0.1 / (n * n)
     ) / 1.64493406685
-    entries = F.flatten(
-        F.transform(
-            matches,
-            lambda m, i: F.transform(m["at"], lambda p: F.struct(i.alias("w"), p.alias("p"))),
-        )
-    )
 
     def miss(a: Column, b: Column) -> Column:
-        gap = F.abs(a["p"] - b["p"])
+        gap = a["p"] - b["p"]
         near = 1.0 / (F.lit(1.005) + F.lit(0.05) * F.exp(gap / 1.5 - 2))
-        weight = 0.1 * F.sqrt(F.when(gap > 100, F.lit(1e-30)).otherwise(near))
-        return F.when(a["w"] < b["w"], F.ln(1.0 - weight)).otherwise(zero)
+        return F.when((a["w"] != b["w"]) & (gap <= PLACES), F.ln(1.0 - 0.1 * F.sqrt(near))).otherwise(zero)
 
-    log_miss = F.aggregate(
-        entries,
-        zero,
-        lambda acc, a: acc + F.aggregate(entries, zero, lambda inner, b: inner + miss(a, b)),
-    )
-    return F.when(F.size(matches) == 1, single).otherwise(1.0 - F.exp(log_miss))
+    def sweep(e: Column) -> Column:
+        behind = lambda n: F.slice(e, F.greatest(n - PLACES, F.lit(0)) + 1, F.least(n, F.lit(PLACES)))
+        logs = F.transform(e, lambda a, n: F.aggregate(behind(n), zero, lambda acc, b: acc + miss(a, b)))
+        return F.aggregate(logs, zero, lambda acc, x: acc + x)
+
+    # The entries are bound to a name once, as an array of one element.
+    logs = F.transform(F.array(entries), sweep)
+    return F.when(words == 1, single).otherwise(1.0 - F.exp(F.element_at(logs, 1)))
 
 
 # --------------------------------------------------------------------------- fuzzy
@@ -295,77 +285,22 @@ def allowed_edits(word) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
-def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` when a term is cut into edits + 1 parts."""
-    parts = edits + 1
-    base = F.floor(length / parts).cast("int")
-    longer_from = parts - (length % parts)
-    size = base + F.when(F.lit(i) >= longer_from, 1).otherwise(0)
-    start = base * i + F.greatest(F.lit(i) - longer_from, F.lit(0))
-    return start.cast("int"), size.cast("int")
-
-
-def _term_keys(vocabulary: DataFrame) -> DataFrame:
-    """Segment keys of each term. Within ``e`` edits of a word, at least one of the term's
-    ``e + 1`` segments appears unchanged in the word, at most ``e`` places away."""
-    n = F.length("term")
-    keys = [F.when(n <= 2, F.struct(F.lit(0).alias("e"), n.alias("n"), F.lit(0).alias("i"),
-                                    F.col("term").alias("piece")))]
-    for edits, low, high in ((1, 2, 6), (2, 4, None)):
-        in_range = (n >= low) if high is None else n.between(low, high)
-        for i in range(edits + 1):
-            start, size = _segment(n, edits, i)
-            key = F.struct(
-                F.lit(edits).alias("e"), n.alias("n"), F.lit(i).alias("i"),
-                F.substring(F.col("term"), start + 1, size).alias("piece"),
-            )
-            keys.append(F.when(in_range, key))
-    every = F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("_k_")
-    return vocabulary.select("term", every).select("term", "_k_.*")
-
-
-def _word_keys(words: DataFrame) -> DataFrame:
-    """Every piece of a word that could equal a segment of a term within its edits."""
-    exact = words.filter(F.col("e") == 0).select(
-        "word", "e", F.length("word").alias("n"), F.lit(0).alias("i"), F.col("word").alias("piece")
-    )
-    out = exact
-    for edits in (1, 2):
-        m = F.length("word")
-        sized = words.filter(F.col("e") == edits).select(
-            "word", "e", F.explode(F.sequence(m - edits, m + edits)).alias("n")
-        )
-        for i in range(edits + 1):
-            start, size = _segment(F.col("n"), edits, i)
-            # The first intact segment has at most i edits before it and edits - i after it.
-            grown = m - F.col("n")
-            low = F.greatest(F.lit(-i), grown - (edits - i))
-            high = F.least(F.lit(i), grown + (edits - i))
-            places = F.when(low <= high, F.sequence(start + low, start + high))
-            shifted = sized.select(
-                "word", "e", "n", F.lit(i).alias("i"), size.alias("_size_"),
-                F.explode(places).alias("_at_"),
-            ).filter((F.col("_at_") >= 0) & (F.col("_at_") + F.col("_size_") <= m))
-            out = out.unionByName(
-                shifted.select(
-                    "word", "e", "n", "i",
-                    F.substring(F.col("word"), F.col("_at_") + 1, F.col("_size_")).alias("piece"),
-                )
-            )
-    return out.distinct()
-
-
-def expand_fuzzy(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
-    """``(word, term, dist)`` for all pairs within the word's allowed edits (exact)."""
+def expand_fuzzy(near: DataFrame, words: DataFrame) -> DataFrame:
+    """``(word, term, dist)`` for all pairs within the word's allowed edits (exact). ``near`` has
+    the terms by their deletion keys, or the terms only."""
+    near = near if "key" in near.columns else near_keys(near)
     sized = words.select("word", allowed_edits("word").alias("e"))
-    near = F.levenshtein("word", "term", 2)
+    keyed = sized.select("word", "e", F.explode(deletions(F.substring("word", 1, NEAR_LETTERS), 2)).alias("_k_"))
+    keyed = keyed.select("word", "e", "_k_.key", "_k_.edits").filter(F.col("edits") <= F.col("e")).select("word", "e", "key")
+    distance = F.levenshtein("word", "term", 2)
     return (
-        _term_keys(over_all_partitions(vocabulary, "term"))
-        .join(_word_keys(sized), ["e", "n", "i", "piece"])
-        .select("word", "term", "e", near.alias("dist"))
+        near.join(keyed, "key")
+        .filter((F.col("edits") <= F.col("e")) & (F.abs(F.length("word") - F.length("term")) <= F.col("e")))
+        .select("word", "term", "e")
+        .distinct()
+        .select("word", "term", "e", distance.alias("dist"))
         .filter((F.col("dist") >= 0) & (F.col("dist") <= F.col("e")))
         .select("word", "term", "dist")
-        .distinct()
     )
 
 
@@ -377,48 +312,28 @@ def search_fuzzy(
     Field score: boost x idf x tf part, summed over words and the terms they expand to, each
     scaled by its similarity 1 - dist / shorter length. A swap of two letters is two edits.
     """
-    boosts = boosts or FUZZY_BOOSTS
+    boosts = {f: b for f, b in (boosts or FUZZY_BOOSTS).items() if f in index.fields}
     words = stage(query_words(queries), "words")
-    usable = index.postings.filter(F.col("field").isin(list(boosts)))
-    expanded = expand_fuzzy(usable.select("term").distinct(), words.select("word").distinct())
+    expanded = expand_fuzzy(index.near(), words.select("word").distinct())
     shorter = F.least(F.length("word"), F.length("term"))
     similarity = 1.0 - F.col("dist") / shorter
-    # Query terms are few next to postings; as a table, their size decides the join strategy.
-    by_term = stage(
-        words.join(expanded, "word").groupBy("query_id", "term").agg(
-            F.sum(similarity).alias("weight")
-        ),
-        "query_terms",
-    )
-    term_df = (
-        usable.join(by_term.select("term").distinct(), "term")
-        .groupBy("field", "term").agg(F.count("*").alias("df"))
-    )
-    fields = usable.groupBy("field").agg(
-        F.count_if("first_term").alias("docs"),
-        (F.sum("tf") / F.count_if("first_term")).alias("avg_len"),
-    )
     boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
     idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") / (
-        F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len"))
-    )
-    scored = (
-        usable.join(term_df, ["field", "term"])
-        .join(F.broadcast(fields), "field")
-        .select("term", "url", "field", (boost * idf * part).alias("s"))
-        .join(by_term, "term")
-        .withColumn("s", F.col("s") * F.col("weight"))
+    by_term = words.join(expanded, "word").groupBy("query_id", "term").agg(F.sum(similarity).alias("weight"))
+    fields = index.field_counts().select("field", "docs", (F.col("tokens") / F.col("docs")).alias("avg_len"))
+    # Query terms are few next to postings; as a table, their size decides the join strategy.
+    weighted = stage(
+        index.terms().filter(F.col("field").isin(list(boosts))).join(by_term, "term").join(F.broadcast(fields), "field")
+        .select("query_id", "term", "field", "avg_len", (boost * idf * F.col("weight")).alias("weight")),
+        "query_terms",
     )
+    part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len")))
+    scored = index.postings().join(weighted, ["term", "field"]).select("query_id", "doc", "field", (F.col("weight") * part).alias("s"))
     # One sum per field side by side: a single shuffle gives the best field of each document.
     sums = [F.sum(F.when(F.col("field") == f, F.col("s"))).alias(f"_{f}_") for f in boosts]
     best = F.greatest(*[f"_{f}_" for f in boosts]) if len(boosts) > 1 else F.col(f"_{[*boosts][0]}_")
-    scores = (
-        scored.groupBy("query_id", "url").agg(*sums)
-        .select("query_id", "url", F.round(best, 9).alias("score"))
-    )
-    hits = top_hits(scores, k).withColumn("rank", F.col("score"))
-    return _with_documents(hits, index.docs, ["popularity"])
+    scores = scored.groupBy("query_id", "doc").agg(*sums).select("query_id", "doc", F.round(best, 9).alias("score"))
+    return _ranked(scores, index, k, ["popularity"]).withColumnRenamed("score", "rank")
 
 
 # --------------------------------------------------------------------------- front door
@@ -428,27 +343,32 @@ ENGINES = ("fuzzy", "stemmed", "prefix")
 
 
 def search(
-    docs: DataFrame,
+    index: SearchIndex | DataFrame,
     queries: DataFrame,
     engine: str = "auto",
     available: tuple = ENGINES,
     k: int = HITS_PER_QUERY,
 ) -> DataFrame:
-    """Search with one engine, or with the first available of fuzzy, stemmed and prefix.
+    """Search an index, or documents that are indexed first, with one engine or with the first
+    available of fuzzy, stemmed and prefix that answers.
 
-    The hits carry the engine's name in ``source``; a query without words gives no hits.
+    With ``auto`` an engine's hits are written before they are returned, so that an engine that
+    fails is found out here and the next one is asked; if all fail, the last one's error is
+    raised. The hits carry the engine's name in ``source``; a query without words gives no hits.
     """
-    if engine == "auto":
-        engine = next(e for e in ENGINES if e in available)
-    if engine == "fuzzy":
-        fields = [f for f in FUZZY_BOOSTS if f in docs.columns]
-        hits = search_fuzzy(build_index(docs, fields), queries, k).drop("popularity")
-    elif engine == "stemmed":
-        hits = search_stemmed(docs, queries, k)
-    else:
-        fields = [f for f in NODE_FIELDS if f in docs.columns]
-        hits = search_prefix(build_index(docs, fields), queries, k)
-    return hits.withColumn("source", F.lit(engine))
+    index = _indexed(index)
+    engines = {"fuzzy": search_fuzzy, "stemmed": search_stemmed, "prefix": search_prefix}
+    columns = ["query_id", *HIT_COLUMNS, "rank"]
+    if engine != "auto":
+        return engines[engine](index, queries, k).select(*columns, F.lit(engine).alias("source"))
+    failed = ValueError("no engine is available")
+    for name in ENGINES:
+        if name in available:
+            try:
+                return stage(search(index, queries, name, k=k), "hits")
+            except (PySparkException, Py4JJavaError) as error:
+                failed = error
+    raise failed
 
 
 def search_view(hits: DataFrame, queries: DataFrame) -> DataFrame:
