@@ -55,6 +55,45 @@ def test_blacklist(spark):
     assert len(BLOCKLIST) == 42 and len(SEED_LANGS) == 28 and len(SEED_TOPICS) == 106
 
 
+def test_hosts_of_the_url_standard(spark):
+    cases = {
+        "http://[2001:db8::1]/a": "[2001:db8::1]", "https:\\\\a.com\\b": "a.com", "http:/a.com/x": "a.com",
+        "  http://a.com": "a.com", "http:a.com": "a.com", "http://a.com:abc/": None, "http://a.com:99999": None,
+        "http://a.com:65535": "a.com", "http://a.com:/": "a.com", "http://a.com:00080/": "a.com", "http://": None,
+        "http:///a": "a", "http://a b/": None, "http://a%20b/": None, "http://%41.com": "a.com", "http://a%zz/": None,
+        "http://user@pw@A.b:1/": "a.b", "http://[::1": None, "http://[::1]x/": None, "http://[1:2]": None,
+        "http://[0:0:1:0:0:0:0:2]": "[0:0:1::2]", "http://[1:0:0:2:0:0:3:4]:8": "[1::2:0:0:3:4]",
+        "http://[::ffff:1.2.3.4]": "[::ffff:102:304]", "http://[::1.2.3.400]": None, "http://[::01.2.3.4]": None,
+        "http://[1:2:3:4:5:6:7::]": "[1:2:3:4:5:6:7:0]", "http://[1::2::3]": None, "http://[:1::2]": None, "http://[::]": "[::]",
+        "http://[1:2:3:4:5:6:7:8:9]": None, "http://[ABCD::00F]": "[abcd::f]", "http://[12345::]": None, "http://[1:2:3:4:5:6:7:]": None,
+        "http://0x7f.1": "127.0.0.1", "http://2130706433/": "127.0.0.1", "http://017700000001": "127.0.0.1",
+        "http://1.2.3.4.": "1.2.3.4", "http://256.1": None, "http://1.256": "1.0.1.0", "http://1.2.3.08": None, "http://1.2.3.4.5": None,
+        "http://4294967296": None, "http://a.0x": None, "http://a.1b": "a.1b", "http://1.2.3.4a": "1.2.3.4a", "http://0x.0x": "0.0.0.0",
+        "http://99999999999999999999999": None, "http://m\u00fcnchen.de/": "xn--mnchen-3ya.de", "http://\u2168.com": "ix.com",
+        "http://B\u00dcCHER.example": "xn--bcher-kva.example", "http://a\u3002b": "a.b", "ht\ntp://a.com": "a.com",
+        "file:///etc": "", "file://localhost/x": "", "file://Srv/x": "srv", "mailto:x@y": "", "foo://Ab:5/": "Ab", "foo://a b/": None,
+        "//a.com": None, "a.com": None, "": None, "1http://a.com": None, "wss://A.com:443": "a.com", "http://a<b": None, "foo://": "",
+        "http://a.com\\@b.com": "a.com", "http://a..b": "a..b", "http://.": ".", "http://a^b": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "url string")
+    got = dict(values(df, "url", u.url_host("url")))
+    assert {k: (v, got[k]) for k, v in cases.items() if got[k] != v} == {}
+    listed = dict(values(df, "url", u.is_blacklisted("url", ["a.com", "1]"])))
+    assert all(listed[k] == (v is None or v == "a.com") for k, v in cases.items())
+
+
+def test_origins_of_the_url_standard(spark):
+    cases = {
+        "http:\\\\A.com:80\\x": "http://a.com", "ws://a.com:81/": "ws://a.com:81", "ftp://u@a.com:21": "ftp://a.com",
+        "https://[::1]:0443": "https://[::1]", "file:///x": "", "foo://a": "", "http://a.com:66000": "", "https://a:000": "https://a:0",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "url string")
+    assert dict(values(df, "url", u.get_origin("url"))) == cases
+    paths = {"http:/a.com\\b\\c?d": "/b/c", "http://a.com?x": "/", "http://[::1]/p#q": "/p", "bad": "/"}
+    df = spark.createDataFrame([(k,) for k in paths], "url string")
+    assert dict(values(df, "url", u.get_path("url"))) == paths
+
+
 def test_domain_partition(spark):
     df = spark.createDataFrame([("https://en.wikipedia.org/x",), ("nope",)], "url string")
     assert values(df, u.domain_partition("url")) == [(2,), (0,)]

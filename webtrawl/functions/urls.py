@@ -1,27 +1,162 @@
 """URL rules as column expressions: hosts, origins, reference resolution, hashing.
 
-All of it stays inside the JVM; a malformed URL gives an empty host, never an error.
+A URL is taken apart as the public URL standard does it: blanks around it and line breaks in it
+are dropped, backslashes count as slashes and missing slashes are made up for in the schemes of
+the web, hosts are decoded, lower-cased and put in their ASCII form, IPv4 hosts may be written in
+octal, hexadecimal or fewer parts, IPv6 hosts are shortened, and ports must fit 16 bits. Plain
+lower-case URLs take a short way. All of it stays inside the JVM; a malformed URL gives null or
+an empty host, never an error. URLs are given as names of columns.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtrawl.functions.resolve import resolve_refs
 
-# A host ends at a path, port, query, fragment or the end; other characters make it invalid.
-_HOST_CHARS = r"[^/:?#\x00-\x20\x7f<>@\[\]\\^|%]+"
-HOST_PATTERN = rf"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?({_HOST_CHARS})(?=[/:?#]|$)"
-_ORIGIN = rf"^([A-Za-z][A-Za-z0-9+.-]*://)(?:[^/?#@]*@)?({_HOST_CHARS}(?::\d+)?)(?=[/?#]|:?$|:/)"
+# The schemes of the web and their default ports.
+DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+
+_PLAIN = r"^(https?)://([a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z][a-z0-9-]*)(?=[/?#]|$)"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+_WEB = r"(?s)^(?:https?|wss?|ftp):[/\\]*([^/\\?#]*)(.*)$"
+_FILE = r"(?s)^file:[/\\]{2}([^/\\?#]*)(.*)$"
+_OTHER = r"(?s)^[a-z][a-z0-9+.-]*://([^/?#]*)(.*)$"
+_HOST_PORT = r"(?s)^(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$"
+_FORBIDDEN = r"[\x00-\x20#/:<>?@\[\\\]^|]"
+_FORBIDDEN_IN_NAMES = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]"
+_NUMBER = r"^([0-9]+|0[xX][0-9a-fA-F]*)$"
 
 
 def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def get_host(url) -> Column:
-    """Lower-case host without port or user info; '' when the URL is not valid."""
-    return F.lower(F.regexp_extract(F.coalesce(_col(url), F.lit("")), HOST_PATTERN, 1))
+def _named(value: str, name: str, body: str) -> str:
+    """``body``, in which ``name`` stands for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _ipv4(name: str) -> str:
+    """The dotted form of a name whose last label is a number; null if it is no address."""
+    value = (
+        "CAST(CASE WHEN p RLIKE '^0[xX][0-9a-fA-F]{1,15}$' THEN conv(substring(p, 3), 16, 10) WHEN p RLIKE '^0[xX]$' THEN '0'"
+        " WHEN p RLIKE '^0[0-7]{1,20}$' THEN conv(p, 8, 10) WHEN p RLIKE '^(0|[1-9][0-9]{0,17})$' THEN p END AS BIGINT)"
+    )
+    total = "aggregate(transform(slice(v, 1, size(v) - 1), (p, i) -> p * element_at(array(16777216L, 65536L, 256L), i + 1)), element_at(v, -1), (a, p) -> a + p)"
+    octets = ", ".join(f"CAST(shiftright(n, {k}) & 255 AS STRING)" for k in (24, 16, 8, 0))
+    good = (
+        "size(v) <= 4 AND forall(v, p -> p IS NOT NULL) AND forall(slice(v, 1, size(v) - 1), p -> p <= 255)"
+        " AND element_at(v, -1) < element_at(array(4294967296L, 16777216L, 65536L, 256L), least(size(v), 4))"
+    )
+    shown = _named(total, "n", f"concat_ws('.', {octets})")
+    labels = rf"split(regexp_replace({name}, r'\.$', ''), r'\.')"
+    return _named(f"transform({labels}, p -> {value})", "v", f"CASE WHEN {good} THEN {shown} END")
+
+
+def _ipv6(text: str) -> str:
+    """The shortest form, in brackets, of an address without them; null if it is none."""
+    dotted = r"r'(?<=:)((?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2}))$'"
+    pair = lambda i: f"lower(hex(element_at(o, {i}) * 256 + element_at(o, {i + 1})))"
+    octets = rf"transform(split(tail, r'\.'), x -> CAST(x AS INT))"
+    in_hex = _named(octets, "o", f"CASE WHEN forall(o, x -> x <= 255) THEN concat({pair(1)}, ':', {pair(3)}) END")
+    plain = _named(
+        f"regexp_extract(t, {dotted}, 1)", "tail",
+        f"CASE WHEN tail = '' THEN t ELSE concat(substring(t, 1, length(t) - length(tail)), {in_hex}) END",
+    )
+    side = lambda pattern: f"filter(split(regexp_extract(g, '{pattern}', 1), ':'), x -> x <> '')"
+    # One gap at most, which stands for one group of zeros or more, and no other empty group.
+    gapped = _named(
+        f"named_struct('l', {side('^(.*?)::')}, 'r', {side('::(.*)$')})", "s",
+        "CASE WHEN NOT g RLIKE ':::|::.*::|^:[^:]|[^:]:$' AND size(s.l) + size(s.r) < 8"
+        " THEN concat(s.l, array_repeat('0', 8 - size(s.l) - size(s.r)), s.r) END",
+    )
+    groups = _named(plain, "g", f"CASE WHEN contains(g, '::') THEN {gapped} ELSE split(g, ':') END")
+    runs = [rf"(?:^|(?<=[0-9a-f]):|^:)0(?::0){{{n - 1}}}(?::|$)" for n in range(8, 1, -1)]
+    cuts = " ".join(f"WHEN j RLIKE '{run}' THEN regexp_replace(j, '^(.*?){run}(.*)$', '$1::$2')" for run in runs)
+    joined = "array_join(transform(v, x -> regexp_replace(x, '^0+(?=.)', '')), ':')"
+    short = _named(joined, "j", f"CASE {cuts} ELSE j END")
+    good = "size(v) = 8 AND forall(v, x -> x RLIKE '^[0-9a-f]{1,4}$')"
+    return _named(_named(f"lower({text})", "t", groups), "v", f"CASE WHEN {good} THEN concat('[', {short}, ']') END")
+
+
+def _name(host: str) -> str:
+    """The ASCII form of a host name of the web, or its IPv4 address; null if it is neither."""
+    decoded = f"CASE WHEN contains({host}, '%') THEN try_url_decode(replace({host}, '+', '%2B')) ELSE {host} END"
+    # Unassigned characters are let through, as the standard's mapping is a newer one.
+    in_ascii = _named(decoded, "d", "lower(CASE WHEN octet_length(d) <> length(d) THEN try_reflect('java.net.IDN', 'toASCII', d, 1) ELSE d END)")
+    last = r"element_at(split(regexp_replace(n, r'\.$', ''), r'\.'), -1)"
+    return _named(
+        in_ascii, "n",
+        f"CASE WHEN n = '' OR n RLIKE r'{_FORBIDDEN_IN_NAMES}' THEN NULL WHEN {last} RLIKE '{_NUMBER}' THEN {_ipv4('n')} ELSE n END",
+    )
+
+
+def _parts_sql() -> str:
+    """The parts of the URL ``{0}`` as one SQL expression. It is written as text, which the session
+    reads in one go, because it is long."""
+    raw = r"regexp_replace(regexp_replace({0}, r'^[\x00-\x20]+|[\x00-\x20]+$', ''), r'[\t\n\r]', '')"
+    web = f"u.s IN ({', '.join(repr(x) for x in DEFAULT_PORTS)})"
+    pattern = lambda group: (
+        f"CASE WHEN {web} THEN regexp_extract(u.t, r'{_WEB}', {group}) WHEN u.s = 'file' THEN regexp_extract(u.t, r'{_FILE}', {group})"
+        f" ELSE regexp_extract(u.t, r'{_OTHER}', {group}) END"
+    )
+    own_port = f"map({', '.join(f'{k!r}, {v!r}' for k, v in DEFAULT_PORTS.items())})"
+    inside = r"regexp_extract(a.h, r'^\[(.*)\]$', 1)"
+    host = (
+        f"CASE WHEN NOT a.auth THEN '' WHEN startswith(a.h, '[') THEN {_ipv6(inside)}"
+        f" WHEN a.h = '' AND NOT {web} THEN '' WHEN {web} OR u.s = 'file' THEN {_name('a.h')} WHEN NOT a.h RLIKE r'{_FORBIDDEN}' THEN a.h END"
+    )
+    local = "CASE WHEN u.s = 'file' AND q = 'localhost' THEN '' ELSE q END"
+    port = f"CASE WHEN a.p <> '' AND a.p <> coalesce({own_port}[u.s], '') THEN a.p END"
+    made = _named(
+        host, "q",
+        f"CASE WHEN q IS NOT NULL THEN named_struct('scheme', u.s, 'host', {local}, 'port', {port}, 'rest', a.rest) END",
+    )
+    good = "u.s <> '' AND a.good AND length(a.p) <= 5 AND (a.p = '' OR CAST(a.p AS INT) <= 65535) AND NOT (u.s = 'file' AND a.p <> '')"
+    port_of = f"regexp_replace(regexp_extract(after, r'{_HOST_PORT}', 2), '^0+(?=.)', '')"
+    has_authority = f"{web} OR (u.s = 'file' AND u.t RLIKE r'{_FILE}') OR u.t RLIKE r'{_OTHER}'"
+    rest = f"CASE WHEN {has_authority} THEN {pattern(2)} ELSE substring(u.t, length(u.s) + 2) END"
+    cut = _named(
+        f"regexp_replace({pattern(1)}, '(?s)^.*@', '')", "after",
+        f"named_struct('h', regexp_extract(after, r'{_HOST_PORT}', 1), 'p', {port_of}, 'good', after RLIKE r'{_HOST_PORT}', 'auth', {has_authority}, 'rest', {rest})",
+    )
+    scheme = f"lower(regexp_extract(r, '{_SCHEME}', 1))"
+    split = _named(scheme, "s", "named_struct('s', s, 't', concat(s, substring(r, length(s) + 1)))")
+    return _named(_named(raw, "r", split), "u", _named(cut, "a", f"CASE WHEN {good} THEN {made} END"))
+
+
+_PARTS = _parts_sql()
+
+
+def _sql(text: str, url: str) -> Column:
+    """The expression ``text`` with ``{0}`` for the column named ``url``."""
+    return F.expr(text.replace("{0}", url if re.fullmatch(r"\w+(\.\w+)*", url) else f"`{url}`"))
+
+
+def url_parts(url: str) -> Column:
+    """``scheme, host, port, rest`` of a URL, null if it is not valid. ``host`` is empty where the
+    scheme has none; ``port`` is null if it is the scheme's own; ``rest`` starts after the port.
+
+    Names are mapped to ASCII by the rules of the older of two internet standards: sharp s becomes
+    ss. Names that are given as ``xn--`` are not checked.
+    """
+    plain = (
+        f"named_struct('scheme', regexp_extract({{0}}, r'{_PLAIN}', 1), 'host', regexp_extract({{0}}, r'{_PLAIN}', 2),"
+        " 'port', CAST(NULL AS STRING), 'rest', regexp_replace({0}, '^[a-z]+://[^/?#]*', ''))"
+    )
+    return _sql(rf"CASE WHEN {{0}} RLIKE r'{_PLAIN}[^\x00-\x20\\]*$' THEN {plain} ELSE {_PARTS} END", url)
+
+
+def url_host(url: str) -> Column:
+    """The host without port or user info; null when the URL is not valid, '' if it has none."""
+    return _sql(f"CASE WHEN {{0}} RLIKE r'{_PLAIN}' THEN regexp_extract({{0}}, r'{_PLAIN}', 2) ELSE ({_PARTS}).host END", url)
+
+
+def get_host(url: str) -> Column:
+    """Host without port or user info; '' when the URL is not valid."""
+    return F.coalesce(url_host(url), F.lit(""))
 
 
 def strip_www(host) -> Column:
@@ -37,19 +172,19 @@ def get_scheme(url) -> Column:
     return F.lower(F.regexp_extract(_col(url), _SCHEME, 1))
 
 
-def get_origin(url) -> Column:
-    """Scheme, host and any non-default port; '' when the URL is not valid."""
-    url = F.coalesce(_col(url), F.lit(""))
-    whole = F.lower(
-        F.concat(F.regexp_extract(url, _ORIGIN, 1), F.regexp_extract(url, _ORIGIN, 2))
-    )
-    return F.regexp_replace(whole, "^(http://[^:]*):80$|^(https://[^:]*):443$", "$1$2")
+def get_origin(url: str) -> Column:
+    """Scheme, host and any non-default port; '' when the URL is not valid or its scheme is none
+    of the web's."""
+    web = ", ".join(repr(x) for x in DEFAULT_PORTS)
+    origin = _named(_PARTS, "o", f"CASE WHEN o.scheme IN ({web}) THEN concat(o.scheme, '://', o.host, coalesce(concat(':', o.port), '')) END")
+    return _sql(f"coalesce(CASE WHEN {{0}} RLIKE r'{_PLAIN}' THEN regexp_extract({{0}}, r'{_PLAIN}', 0) ELSE {origin} END, '')", url)
 
 
-def get_path(url) -> Column:
-    """The path of an absolute URL; '/' when it is empty."""
-    path = F.regexp_extract(_col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.when(path == "", "/").otherwise(path)
+def get_path(url: str) -> Column:
+    """The path of a URL of the web, with slashes for backslashes; '/' when it is empty or the URL
+    is not valid. Dot segments stay."""
+    path = F.translate(F.regexp_extract(url_parts(url)["rest"], r"^([^?#]*)", 1), "\\", "/")
+    return F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
 
 
 def is_https(url) -> Column:
@@ -70,9 +205,8 @@ def is_blacklisted(url, blocklist) -> Column:
 
     ``blocklist`` is a short Python list; use ``drop_blacklisted`` for a list held in a table.
     """
-    domain = get_domain(url)
-    listed = F.exists(host_suffixes(domain), lambda s: s.isin(list(blocklist)))
-    return (domain == "") | listed
+    listed = F.exists(host_suffixes(strip_www(url_host(url))), lambda s: s.isin(list(blocklist)))
+    return F.coalesce(listed, F.lit(True))
 
 
 def domain_partition(url, partitions: int = 6) -> Column:
