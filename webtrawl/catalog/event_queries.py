@@ -17,9 +17,8 @@ HOUR = 3_600_000
 
 
 
-def _slice_rows(spark, sf, least):
-    """A slice size that makes small tables use many slices and large ones not too many."""
-    return max(least, v.events(spark, sf).count() // 2000)
+# Rows of a slice in the sliced queries: small, so that even small tables are cut.
+_SLICE_ROWS = 500
 
 
 # ---------------------------------------------------------------- statistics
@@ -173,7 +172,7 @@ def auto_blocklist(spark, sf):
 )
 def auto_blocklist_sliced(spark, sf):
     """The same with every busy domain cut into time slices."""
-    return fl.auto_blocklist(v.fetch_log(spark, sf), ratio=0.2, slice_rows=_slice_rows(spark, sf, 30))
+    return fl.auto_blocklist(v.fetch_log(spark, sf), ratio=0.2, slice_rows=_SLICE_ROWS)
 
 
 @query(
@@ -381,7 +380,7 @@ def anchored_rate_limit(spark, sf):
 @query("anchored_rate_limit_sliced", _ANCHORED_SQL)
 def anchored_rate_limit_sliced(spark, sf):
     """The same with every busy client cut into time slices."""
-    return _anchored(spark, sf, slice_rows=_slice_rows(spark, sf, 30))
+    return _anchored(spark, sf, slice_rows=_SLICE_ROWS)
 
 
 # ---------------------------------------------------------------- breakers and retries
@@ -425,7 +424,7 @@ def circuit_breaker(spark, sf):
 @query("circuit_breaker_sliced", _BREAKER_SQL)
 def circuit_breaker_sliced(spark, sf):
     """The same with every busy breaker cut into time slices."""
-    return _breaker(spark, sf, slice_rows=_slice_rows(spark, sf, 100))
+    return _breaker(spark, sf, slice_rows=_SLICE_ROWS)
 
 
 @query(
@@ -465,8 +464,7 @@ def shared_breaker(spark, sf):
 @query("shared_breaker_sliced", _SHARED_SQL)
 def shared_breaker_sliced(spark, sf):
     """The same with every busy breaker cut into time slices."""
-    size = _slice_rows(spark, sf, 100)
-    return rs.shared_breaker(v.calls(spark, sf), _T, _RESET, slice_rows=size).select(
+    return rs.shared_breaker(v.calls(spark, sf), _T, _RESET, slice_rows=_SLICE_ROWS).select(
         "id", "admitted", "state", "failure_count"
     )
 

@@ -56,7 +56,7 @@ def circuit_breaker(
     those tables gives every slice its true start, and the slices are replayed in parallel.
     """
     limits = breaker_limits(threshold, reset_ms, half_open_max)
-    cut = with_slices(calls.select("name", "id", "ts_ms", "ok"), ["name"], "ts_ms", slice_rows)
+    cut = with_slices(calls.select("name", "id", "ts_ms", "ok"), ["name"], "ts_ms", slice_rows, "id")
 
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ts_ms", "id"])

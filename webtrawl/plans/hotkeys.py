@@ -1,9 +1,10 @@
 """Ordered work per key when one key may hold a large share of all rows.
 
-A key with more than ``slice_rows`` rows is cut into slices of its time range, so that no
-task ever gets the whole key. Slices are worked on in parallel; what a slice needs from the
-earlier ones (a running total, the state at its start) is computed from one small row per
-slice and joined back. Keys below the limit are one slice and take no extra step.
+A key with more than ``slice_rows`` rows is cut into slices of about equal row counts, in the
+order of time and a tie-break, so that no task ever gets the whole key, also when all its rows
+fall into one instant. Slices are worked on in parallel; what a slice needs from the earlier ones
+(a running total, the state at its start) is computed from one small row per slice and joined
+back. Keys below the limit are one slice and take no extra step.
 """
 
 from collections.abc import Sequence
@@ -12,36 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from webtrawl.plans.staging import stage
+
 SLICE_ROWS = 1_000_000
 SLICE = "_slice_"
 SLICED = "_sliced_"
 
 
 def with_slices(
-    df: DataFrame, keys: Sequence[str], ms: str, slice_rows: int = SLICE_ROWS
+    df: DataFrame, keys: Sequence[str], ms: str, slice_rows: int = SLICE_ROWS, tie: str | None = None
 ) -> DataFrame:
     """Add the slice number and whether the row's key has several slices.
 
-    At most ``rows / slice_rows`` keys are over the limit, which bounds the join's right side;
-    adaptive execution broadcasts it only if its real size allows that.
+    The rows of the keys over the limit are range-partitioned by (keys, ms, tie) into parts of
+    half the limit on average, sampled bounds leave no part near twice that; the part's number is
+    the slice. Only these rows are moved and written. At most ``rows / slice_rows`` keys are over
+    the limit, which bounds the joins' right side; rows alike in all of keys, ``ms`` and ``tie``
+    stay together.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n_"), F.min(ms).alias("_lo_"), F.max(ms).alias("_hi_"))
-        .filter(F.col("_n_") > slice_rows)
-        .withColumn(
-            "_width_",
-            F.ceil((F.col("_hi_") - F.col("_lo_") + 1) / F.ceil(F.col("_n_") * 2 / slice_rows)),
-        )
-        .select(*keys, "_lo_", "_width_")
-    )
-    number = F.floor((F.col(ms) - F.col("_lo_")) / F.col("_width_"))
-    return (
-        df.join(hot, list(keys), "left")
-        .withColumn(SLICE, F.coalesce(number, F.lit(0)).cast("long"))
-        .withColumn(SLICED, F.col("_width_").isNotNull())
-        .drop("_lo_", "_width_")
-    )
+    keys = list(keys)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n_")).filter(F.col("_n_") > slice_rows)
+    hot = stage(hot, "hot-keys")
+    parts = hot.agg(F.sum(F.ceil(F.col("_n_") * 2 / slice_rows))).first()[0]
+    if not parts:
+        return df.withColumn(SLICE, F.lit(0).cast("long")).withColumn(SLICED, F.lit(False))
+    names = hot.select(*keys)
+    order = [*keys, ms, *([tie] if tie else [])]
+    cut = df.join(names, keys, "left_semi").repartitionByRange(int(parts), *order)
+    cut = stage(cut.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices")
+    rest = df.join(names, keys, "left_anti").withColumn(SLICE, F.lit(0).cast("long"))
+    return rest.withColumn(SLICED, F.lit(False)).unionByName(cut.withColumn(SLICED, F.lit(True)))
 
 
 def running_totals(
@@ -58,7 +59,7 @@ def running_totals(
     first (with map-side combine); a slice then only adds what came before it.
     """
     keys = list(keys)
-    cut = with_slices(df, keys, ms, slice_rows)
+    cut = with_slices(df, keys, ms, slice_rows, tie)
     for name, amount in totals.items():
         cut = cut.withColumn(f"_amount_{name}", amount)
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
