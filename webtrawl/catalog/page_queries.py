@@ -38,6 +38,52 @@ def url_rules(spark, sf):
     )
 
 
+def _url_forms(spark, sf):
+    """Each page's URL in other spellings, legal and illegal ones."""
+    pages = v.pages(spark, sf).select("page_id", "url", u.get_host("url").alias("h"))
+    n = F.col("page_id")
+    form = lambda name, *parts: F.struct(F.lit(name).alias("form"), F.concat(*parts).alias("raw"))
+    forms = F.array(
+        form("plain", F.col("url")),
+        form("slashes", F.lit("  HTTPS:\\\\"), F.upper("h"), F.lit("\\p")),
+        form("user", F.lit("http:/u:p@x@"), F.col("h"), F.lit(":0081/")),
+        form("lines", F.lit("ht\ntps://"), F.col("h"), F.lit(":443\t?q ")),
+        form("percent", F.lit("http:%"), F.hex(F.substring("h", 1, 1)), F.substring("h", 2, 300)),
+        form("ipv4", F.lit("http://0x7f."), (n % 256).cast("string"), F.lit("."), (n * 7 % 65536).cast("string"), F.lit("/")),
+        form("ipv6", F.lit("ws://[::"), F.hex(n % 65535 + 1), F.lit(":0:0:1.2.3."), (n % 256).cast("string"), F.lit("]:8080")),
+        form("other", F.lit("news://User@"), F.col("h"), F.lit(":119/x")),
+        form("opaque", F.lit("mailto:a@"), F.col("h")),
+        form("port", F.lit("https://"), F.col("h"), F.lit(":99999/")),
+        form("letters", F.lit("https://"), F.col("h"), F.lit(":abc/")),
+        form("blank", F.lit("https://a "), F.col("h")),
+        form("five", F.lit("http://1.2.3.4."), (n % 256).cast("string")),
+        form("octal", F.lit("http://"), F.col("h"), F.lit(".08/")),
+    )
+    return pages.select("page_id", F.explode(forms).alias("f")).select("page_id", "f.form", "f.raw")
+
+
+@query(
+    "standard_urls",
+    f"""WITH p AS (SELECT page_id, url, {host_sql('url')} AS h FROM pages),
+x AS (SELECT page_id, unnest(['plain', 'slashes', 'user', 'lines', 'percent', 'ipv4', 'ipv6', 'other', 'opaque', 'port', 'letters',
+    'blank', 'five', 'octal']) AS form, url, h,
+  '127.' || (page_id % 256) || '.' || (page_id * 7 % 65536) // 256 || '.' || (page_id * 7) % 256 AS v4,
+  '[::' || printf('%x', page_id % 65535 + 1) || ':0:0:102:3' || printf('%02x', page_id % 256) || ']' AS v6 FROM p),
+y AS (SELECT page_id, form, url, CASE WHEN form IN ('plain', 'slashes', 'user', 'lines', 'percent', 'other') THEN h
+  WHEN form = 'ipv4' THEN v4 WHEN form = 'ipv6' THEN v6 WHEN form = 'opaque' THEN '' END AS host FROM x)
+SELECT page_id, form, host, regexp_replace(coalesce(host, ''), 'www\.', '') AS domain,
+  CASE form WHEN 'plain' THEN {origin_sql('url')} WHEN 'slashes' THEN 'https://' || host WHEN 'user' THEN 'http://' || host || ':81'
+    WHEN 'lines' THEN 'https://' || host WHEN 'percent' THEN 'http://' || host WHEN 'ipv4' THEN 'http://' || host
+    WHEN 'ipv6' THEN 'ws://' || host || ':8080' ELSE '' END AS origin, host IS NULL AS blacklisted FROM y""",
+)
+def standard_urls(spark, sf):
+    """Hosts and origins of the pages' URLs in spellings that only the whole standard understands."""
+    return _url_forms(spark, sf).select(
+        "page_id", "form", u.url_host("raw").alias("host"), u.get_domain("raw").alias("domain"),
+        u.get_origin("raw").alias("origin"), u.is_blacklisted("raw", ["nowhere.invalid"]).alias("blacklisted"),
+    )
+
+
 @query(
     "is_blacklisted",
     f"""SELECT page_id, d = '' OR len(list_filter({list(BLOCKLIST) + ['cheap-pills.example.com', 'example.org']!r},
@@ -600,6 +646,15 @@ _WALK = {
 }
 
 
+# Paths order as the finders do: by length, then by the places of the links on the way.
+_PATHS = {
+    "places": "SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS place FROM page_links",
+    "paths": """SELECT CAST(0 AS BIGINT) AS id, 0 AS depth, '00' AS path, CAST(NULL AS BIGINT) AS src
+  UNION SELECT l.dst, w.depth + 1, chr(CAST(49 + w.depth AS INTEGER)) || substr(w.path, 2) || l.place, l.src
+  FROM paths w JOIN places l ON l.src = w.id WHERE w.depth < 10""",
+}
+
+
 @query(
     "reachable_pages",
     with_views("page_links", recursive=True, extra=_WALK)
@@ -612,15 +667,16 @@ def reachable_pages(spark, sf):
 
 @query(
     "crawl_bfs",
-    with_views("page_links", recursive=True, extra=_WALK)
-    + f"""SELECT regexp_replace(p.url, '#.*', '') AS url, min(depth) AS depth,
-  {domain_sql('p.url')} AS domain FROM walk JOIN pages p ON p.page_id = walk.id GROUP BY p.url""",
+    with_views("page_links", recursive=True, extra=_PATHS)
+    + f"""SELECT regexp_replace(p.url, '#.*', '') AS url, min(depth) AS depth, {domain_sql('p.url')} AS domain,
+  regexp_replace(arg_min(q.url, path), '#.*', '') AS parent
+  FROM paths JOIN pages p ON p.page_id = paths.id LEFT JOIN pages q ON q.page_id = paths.src GROUP BY p.url""",
 )
 def crawl_bfs(spark, sf):
     pages = v.linked_pages(spark, sf)
     keyed = pages.withColumn("url", F.regexp_replace("url", "#.*", ""))
     state = cr.crawl_bfs(keyed, keyed.filter("page_id = 0"), cr.CrawlRules(max_pages=1 << 30))
-    return state.nodes.select("url", "depth", "domain")
+    return state.nodes.select("url", "depth", "domain", "parent")
 
 
 @query(
@@ -628,8 +684,8 @@ def crawl_bfs(spark, sf):
     with_views("page_links", "blocklist", "rules")
     + f""", p AS (SELECT page_id, regexp_replace(url, '#.*', '') AS url FROM pages),
 got AS (SELECT p.* FROM p WHERE NOT starts_with(url, 'https') AND NOT EXISTS (SELECT 1 FROM rules r
-  WHERE r.path = '/en' AND r.origin = {origin_sql('p.url')}
-  AND starts_with(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en')))
+  WHERE r.origin = {origin_sql('p.url')}
+  AND starts_with(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1), r.path)))
 SELECT 'node' AS kind, url, 0 AS depth, parent FROM (SELECT url, NULL::VARCHAR AS parent FROM got)
 UNION ALL SELECT 'frontier', url, 1, parent FROM
   (SELECT d.url, got.url AS parent, row_number() OVER (PARTITION BY d.url ORDER BY got.page_id, l.dst) AS rn
@@ -641,7 +697,7 @@ UNION ALL SELECT 'frontier', url, 1, parent FROM
 def crawl_round(spark, sf):
     """One round from the plain-http pages with all rules on: new nodes and new frontier."""
     pages = v.linked_pages(spark, sf).withColumn("url", F.regexp_replace("url", "#.*", ""))
-    robots = fr.parse_robots(v.robots(spark, sf)).filter("path = '/en'")
+    robots = fr.parse_robots(v.robots(spark, sf))
     rules = cr.CrawlRules(robots=robots, blocklist=v.blocklist(spark, sf), max_pages=1 << 30)
     seeds = pages.select(F.col("page_id").alias("id"), "url").filter(~F.startswith("url", F.lit("https")))
     state = cr.expand_frontier(cr.start_state(spark, seeds), pages, rules, 0)

@@ -196,6 +196,11 @@ def slo_report(stats: DataFrame, nodes: DataFrame, now_ms=None, targets=None) ->
     return measured.join(F.broadcast(goal), "slo").select("slo", "value", "target", met.alias("met"))
 
 
+def trips_block(total, fails, min_total: int = BLOCK_MIN_TOTAL, ratio: float = BLOCK_RATIO) -> Column:
+    """Whether a failure with these running counts blocks its domain."""
+    return (total >= min_total) & (fails / total > ratio)
+
+
 def block_times(
     log: DataFrame,
     min_total: int = BLOCK_MIN_TOTAL,
@@ -209,8 +214,7 @@ def block_times(
         {"total": F.lit(1).cast("long"), "fails": (~F.col("ok")).cast("long")},
         slice_rows,
     )
-    over = (F.col("total") >= min_total) & (F.col("fails") / F.col("total") > ratio)
-    return totals.filter(~F.col("ok") & over)
+    return totals.filter(~F.col("ok") & trips_block(F.col("total"), F.col("fails"), min_total, ratio))
 
 
 def auto_blocklist(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webtrawl.functions.urls import get_domain, get_origin, get_path, host_suffixes
+from webtrawl.functions.urls import get_domain, get_origin, get_path, host_suffixes, strip_www, url_host
 from webtrawl.plans.ranking import global_row_number
 from webtrawl.settings import (
     CONCURRENCY,
@@ -14,17 +14,25 @@ from webtrawl.settings import (
 )
 
 
+def _with_domain(urls: DataFrame, url: str, domain: str | None) -> DataFrame:
+    """``_domain_`` of the urls: from the column ``domain`` if one is named, else from the url."""
+    return urls.withColumn("_domain_", F.col(domain) if domain else get_domain(url))
+
+
 def drop_visited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
     return frontier.join(visited.select("url"), "url", "left_anti").select(*frontier.columns)
 
 
-def drop_blacklisted(urls: DataFrame, blocklist: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose host is valid and neither listed nor below a listed domain.
+def drop_blacklisted(
+    urls: DataFrame, blocklist: DataFrame, url: str = "url", domain: str | None = None
+) -> DataFrame:
+    """Rows whose URL is valid and whose host is neither listed nor below a listed domain.
 
     The suffix test runs on the distinct hosts only; the url rows then lose the blocked hosts
     in one anti join.
     """
-    hosted = urls.withColumn("_domain_", get_domain(url)).filter(F.col("_domain_") != "")
+    name = F.col(domain) if domain else strip_www(url_host(url))
+    hosted = urls.withColumn("_domain_", name).filter(F.col("_domain_").isNotNull())
     listed = blocklist.select(F.col("domain").alias("_suffix_")).distinct()
     blocked = (
         hosted.select("_domain_")
@@ -54,9 +62,12 @@ def parse_robots(robots: DataFrame, origin: str = "origin", body: str = "body")
     return lines.select("origin", path.alias("path")).filter(F.col("path") != "")
 
 
-def robots_blocked(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose path starts with a rule of their origin."""
-    keyed, rule = _robots_sides(urls, rules, url)
+def robots_blocked(
+    urls: DataFrame, rules: DataFrame, url: str = "url", places: tuple[str, str] | None = None
+) -> DataFrame:
+    """Rows whose path starts with a rule of their origin. ``places`` names the columns that hold
+    origin and path already."""
+    keyed, rule = _robots_sides(urls, rules, url, places)
     return keyed.join(rule, _robots_match(), "left_semi").select(*urls.columns)
 
 
@@ -66,8 +77,9 @@ def filter_robots(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFr
     return keyed.join(rule, _robots_match(), "left_anti").select(*urls.columns)
 
 
-def _robots_sides(urls: DataFrame, rules: DataFrame, url: str):
-    keyed = urls.withColumn("_origin_", get_origin(url)).withColumn("_path_", get_path(url))
+def _robots_sides(urls: DataFrame, rules: DataFrame, url: str, places: tuple[str, str] | None = None):
+    origin, path = map(F.col, places) if places else (get_origin(url), get_path(url))
+    keyed = urls.withColumn("_origin_", origin).withColumn("_path_", path)
     rule = rules.select(F.col("origin").alias("_rule_origin_"), F.col("path").alias("_rule_"))
     return keyed, rule.distinct()
 
@@ -82,12 +94,12 @@ def depth_filter(links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 
 def filter_domain_quota(
-    links: DataFrame, counts: DataFrame, max_pages: int = DOMAIN_MAX, url: str = "url"
+    links: DataFrame, counts: DataFrame, max_pages: int = DOMAIN_MAX, url: str = "url", domain: str | None = None
 ) -> DataFrame:
     """Links whose domain has fewer than ``max_pages`` stored pages. Only full domains are
     joined; a link without a domain is kept."""
     full = counts.filter(F.col("c") >= max_pages).select(F.col("domain").alias("_domain_"))
-    keyed = links.withColumn("_domain_", get_domain(url))
+    keyed = _with_domain(links, url, domain)
     return keyed.join(
         full.filter(F.col("_domain_") != ""), "_domain_", "left_anti"
     ).select(*links.columns)
@@ -99,13 +111,14 @@ def admit_links(
     seq: str = "id",
     max_pages: int = DOMAIN_MAX,
     url: str = "url",
+    domain: str | None = None,
 ) -> DataFrame:
     """Cumulative quota: stored pages plus rank within the domain may not exceed the limit.
 
     The rank is cut at ``max_pages`` before the shuffle (group limit), so a hot domain sends
     at most that many rows per task; the counts are joined to the survivors only.
     """
-    keyed = links.withColumn("_domain_", get_domain(url))
+    keyed = _with_domain(links, url, domain)
     free = keyed.filter(F.col("_domain_") == "").select(*links.columns)
     rank = F.row_number().over(W.partitionBy("_domain_").orderBy(seq))
     first = (
@@ -127,13 +140,14 @@ def polite_batch(
     inflight: DataFrame | None = None,
     domain_limit: int = DOMAIN_LIMIT,
     concurrency: int | None = CONCURRENCY,
+    domain: str | None = None,
 ) -> DataFrame:
     """The next urls to fetch in id order: at most ``domain_limit`` per domain, those in
     flight included, and at most ``concurrency`` in all (None: no overall limit).
 
     A url without a domain is never picked.
     """
-    keyed = frontier.withColumn("_domain_", get_domain("url")).filter(F.col("_domain_") != "")
+    keyed = _with_domain(frontier, "url", domain).filter(F.col("_domain_") != "")
     rank = F.row_number().over(W.partitionBy("_domain_").orderBy("id"))
     first = keyed.withColumn("_rn_", rank).filter(F.col("_rn_") <= domain_limit)
     if inflight is not None:

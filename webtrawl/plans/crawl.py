@@ -1,13 +1,21 @@
-"""Set-based crawl rounds over already fetched pages."""
+"""Set-based crawl rounds over already fetched pages.
 
+Pages are parsed once, before the first round: ``page_tables`` writes what a crawl looks up, the
+page records and the links, as two tables bucketed by url. A round joins its urls to them, so the
+page side of these joins is never shuffled and no page body takes part.
+"""
+
+import uuid
 from dataclasses import dataclass, replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webtrawl import schemas
-from webtrawl.functions.html import parse_page, raw_links
-from webtrawl.functions.urls import get_domain, with_resolved_url
+from webtrawl.functions.html import extract_links, parse_page
+from webtrawl.functions.urls import get_domain, get_origin, get_path
+from webtrawl.operators.fetchlog import trips_block
 from webtrawl.operators.frontier import (
     admit_links,
     depth_filter,
@@ -17,41 +25,130 @@ from webtrawl.operators.frontier import (
     polite_batch,
     robots_blocked,
 )
-from webtrawl.operators.graph import domain_counts, top_domains, with_popularity
+from webtrawl.operators.graph import domain_counts, with_popularity
 from webtrawl.operators.tables import first_per_key
-from webtrawl.plans.staging import stage
-from webtrawl.settings import DOMAIN_MAX, MAX_DEPTH, RECRAWL_DEPTH
+from webtrawl.plans.hotkeys import running_totals
+from webtrawl.plans.staging import new_folder, stage
+from webtrawl.settings import (
+    DOMAIN_MAX,
+    MAX_DEPTH,
+    RECRAWL_DEPTH,
+    TOP_DOMAINS,
+)
+
+_FOUND = [f for f in schemas.NODES.names if f not in ("url", "depth", "parent", "popularity", "crawled_at")]
+_ATTEMPT = "id string, origUrl string, host string, found boolean, round int"
+_COUNTS = "domain string, c long"
+_OUTCOMES = "domain string, total long, fails long, blocked boolean"
+
+
+def _places(url: str) -> list[Column]:
+    return [get_domain(url).alias("host"), get_origin(url).alias("origin"), get_path(url).alias("path")]
+
+
+@dataclass(frozen=True)
+class PageTables:
+    """Fetched pages as a crawl reads them. ``records`` has a row per url that can be asked for:
+    the url the answer came from (``final``) and the page's fields; ``links`` has ``page``, ``pos``,
+    the resolved ``link`` and its ``host`` (the domain), ``origin`` and ``path``, so that rounds
+    take no url apart."""
+
+    records: DataFrame
+    links: DataFrame
+    redirected: bool = False
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    name = f"crawl_{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession, "crawl-pages")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def page_tables(pages: DataFrame, redirects: DataFrame | None = None, buckets: int | None = None) -> PageTables:
+    """Parse ``pages`` (url, html; one row per url) for a crawl. ``redirects`` has ``url`` and
+    ``final``: urls that lead to a page of another url. Both tables get as many buckets as the
+    session has shuffle partitions, if no number is given."""
+    buckets = buckets or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = pages.select("url", "html")
+    records = parse_page(known).select("url", F.col("url").alias("final"), *_FOUND)
+    if redirects is not None:
+        ways = redirects.select(F.col("url").alias("asked"), "final")
+        led = records.drop("url").join(ways, "final").select(F.col("asked").alias("url"), "final", *_FOUND)
+        records = records.join(ways, F.col("url") == F.col("asked"), "left_anti").unionByName(led)
+    links = extract_links(known).select(F.col("url").alias("page"), "pos", "link", *_places("link"))
+    return PageTables(_bucketed(records, "url", buckets), _bucketed(links, "page", buckets), redirects is not None)
 
 
 @dataclass(frozen=True)
 class CrawlState:
     """Crawl tables after ``rounds`` rounds. Every node url is also visited, and no visited
-    url is in the frontier but for re-crawls. A round only adds staged tables, so the plans
-    stay short.
+    url is in the frontier but for re-crawls.
+
+    A round writes its attempts to a folder of its own; all folders are read by one scan, so
+    the plans of late rounds are as short as those of early ones. Pages per domain and
+    outcomes per domain are carried along, not counted again.
 
     The frontier ``id`` is an order key: the round, then the position of the finder, then
     that of the link. It puts urls in order of discovery without numbering a whole table.
+    ``host``, ``origin`` and ``path`` of its urls stand beside them.
     """
 
-    nodes: DataFrame
-    visited: DataFrame
+    before: DataFrame
     frontier: DataFrame
+    counts: DataFrame
+    outcomes: DataFrame
+    folders: tuple[str, ...] = ()
     rounds: int = 0
     refused: int = 0
+    redirected: bool = False
+
+    @property
+    def attempts(self) -> DataFrame:
+        """Every url that was picked, ``found`` or not, with the fields of its page."""
+        spark = self.before.sparkSession
+        columns = [f"{f.name} {f.dataType.simpleString()}" for f in schemas.NODES.fields]
+        schema = ", ".join([*columns, _ATTEMPT])
+        return spark.read.schema(schema).parquet(*self.folders) if self.folders else spark.createDataFrame([], schema)
+
+    @property
+    def nodes(self) -> DataFrame:
+        """Stored pages. If several urls led to one page, the last round's and there the last
+        attempt's row stays, as pages are overwritten."""
+        stored = self.attempts.filter(F.col("found") & (F.col("depth") != RECRAWL_DEPTH))
+        names = schemas.NODES.names
+        if not self.redirected:
+            return self.before.unionByName(stored.select(*names))
+        rows = self.before.withColumn("round", F.lit(-1)).withColumn("id", F.lit("")).unionByName(stored.select(*names, "round", "id"))
+        return first_per_key(rows, ["url"], [F.desc("round"), F.desc("id")]).select(*names)
+
+    @property
+    def visited(self) -> DataFrame:
+        return self.before.select("url").unionByName(_visited_now(self.attempts, self.redirected))
+
+
+def _visited_now(attempts: DataFrame, redirected: bool) -> DataFrame:
+    first_time = attempts.filter(F.col("depth") != RECRAWL_DEPTH)
+    if not redirected:
+        return first_time.select("url")
+    return first_time.select(F.explode(F.array_distinct(F.array("url", "origUrl"))).alias("url"))
 
 
 @dataclass(frozen=True)
 class CrawlRules:
-    """Optional rule tables and limits of a crawl. ``domain_limit`` picks at most so many
-    urls per domain and round; ``cumulative_quota`` counts the new links too."""
+    """Optional rule tables and limits of a crawl; None as a limit is no limit. ``domain_limit``
+    picks at most so many urls per domain and round; ``cumulative_quota`` counts the new links
+    too. ``block_failing`` is the number of attempts and the share of failures from which on a
+    domain is blocked for good, as found in the rounds before."""
 
     robots: DataFrame | None = None
     blocklist: DataFrame | None = None
     auto_blocked: DataFrame | None = None
-    max_depth: int = MAX_DEPTH
-    max_pages: int = DOMAIN_MAX
+    max_depth: int | None = MAX_DEPTH
+    max_pages: int | None = DOMAIN_MAX
     domain_limit: int | None = None
     cumulative_quota: bool = False
+    block_failing: tuple[int, float] | None = None
 
 
 def _order_key(round_no: int, *position: Column) -> Column:
@@ -61,85 +158,121 @@ def _order_key(round_no: int, *position: Column) -> Column:
 def start_state(spark, seeds: DataFrame, nodes: DataFrame | None = None) -> CrawlState:
     """A state whose frontier is the seeds at depth 0, ordered by their BIGINT ``id`` if they
     have one, else in a fixed arbitrary order."""
-    nodes = nodes if nodes is not None else spark.createDataFrame([], schemas.NODES)
+    known = nodes is not None
+    nodes = nodes if known else spark.createDataFrame([], schemas.NODES)
     number = F.min("id") if "id" in seeds.columns else F.min(F.xxhash64("url"))
     rows = seeds.groupBy("url").agg(F.lpad(F.hex(number), 16, "0").alias("_n_")).select(
         _order_key(0, F.col("_n_")).alias("id"), "url", F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("parent"),
     )
-    visited = nodes.select("url")
-    return CrawlState(nodes, visited, stage(drop_visited(rows, visited), "frontier"))
+    if known:
+        rows = drop_visited(rows, nodes.select("url"))
+    rows = rows.select("*", *_places("url"))
+    counts = stage(domain_counts(nodes).select("domain", "c"), "counts") if known else spark.createDataFrame([], _COUNTS)
+    return CrawlState(nodes, stage(rows, "frontier"), counts, spark.createDataFrame([], _OUTCOMES))
+
+
+def _without_domains(urls: DataFrame, *blocked: DataFrame | None) -> DataFrame:
+    for names in blocked:
+        if names is not None:
+            urls = urls.join(names.select(F.col("domain").alias("host")), "host", "left_anti").select(*urls.columns)
+    return urls
 
 
-def _without_domains(urls: DataFrame, blocked: DataFrame | None) -> DataFrame:
-    if blocked is None:
-        return urls
-    names = blocked.select(F.col("domain").alias("_domain_"))
-    keyed = urls.withColumn("_domain_", get_domain("url"))
-    return keyed.join(names, "_domain_", "left_anti").select(*urls.columns)
+def _outcomes(before: DataFrame, attempts: DataFrame, rule: tuple[int, float]) -> DataFrame:
+    """Attempts and failures per domain with this round's, and whether one of its failures, in
+    the order of the attempts, or an earlier one has blocked the domain."""
+    least, ratio = rule
+    tried = attempts.select(F.col("host").alias("domain"), "id", "origUrl", "found")
+    running = running_totals(
+        tried, ["domain"], "id", "origUrl",
+        {"total": F.lit(1).cast("long"), "fails": (~F.col("found")).cast("long")},
+    )
+    earlier = before.select("domain", F.col("total").alias("_total_"), F.col("fails").alias("_fails_"), F.col("blocked").alias("_blocked_"))
+    totals = running.join(earlier, "domain", "left").fillna(0, ["_total_", "_fails_"])
+    total, fails = F.col("total") + F.col("_total_"), F.col("fails") + F.col("_fails_")
+    now = totals.groupBy("domain").agg(
+        F.max(total).alias("total"), F.max(fails).alias("fails"),
+        F.max(F.coalesce("_blocked_", F.lit(False)) | (~F.col("found") & trips_block(total, fails, least, ratio))).alias("blocked"),
+    )
+    return before.join(now.select("domain"), "domain", "left_anti").unionByName(now)
 
 
 def expand_frontier(
-    state: CrawlState, pages: DataFrame, rules: CrawlRules, crawled_at: int
+    state: CrawlState, pages: PageTables | DataFrame, rules: CrawlRules, crawled_at: int
 ) -> CrawlState:
     """One crawl round: pick eligible urls, look their pages up, store them, add their links.
 
     A url that ``pages`` does not have is a failed fetch: visited, but no node. Re-crawled
     urls (depth -1) skip the visited and robots rules and store and add nothing.
     """
+    if isinstance(pages, DataFrame):
+        pages = page_tables(pages)
+    spark = state.frontier.sparkSession
+    redirected = state.redirected or pages.redirected
     again = F.col("depth") == RECRAWL_DEPTH
-    eligible = _without_domains(
-        state.frontier.filter(get_domain("url") != ""), rules.auto_blocked
-    )
+    failing = state.outcomes.filter("blocked") if rules.block_failing else None
+    eligible = _without_domains(state.frontier.filter(F.col("host") != ""), rules.auto_blocked, failing)
     batch = eligible
     if rules.robots is not None:
-        refused = robots_blocked(eligible.filter(~again), rules.robots)
+        refused = stage(robots_blocked(eligible.filter(~again), rules.robots, places=("origin", "path")).select(*eligible.columns), "refused")
         batch = eligible.join(refused.select("url"), "url", "left_anti")
     if rules.domain_limit is not None:
-        batch = polite_batch(batch, None, rules.domain_limit, None)
+        batch = polite_batch(batch, None, rules.domain_limit, None, domain="host")
 
-    known = pages.select("url", "html")
-    looked_up = batch.join(known, "url", "left").withColumn("hrefs", raw_links("html"))
-    parsed = parse_page(looked_up.withColumn("found", F.col("html").isNotNull()))
-    fetched = with_popularity(parsed, top_domains(state.nodes))
+    top = state.counts.orderBy(F.desc("c"), "domain").limit(TOP_DOMAINS)
+    looked_up = batch.withColumnRenamed("url", "origUrl").join(
+        pages.records.withColumnRenamed("url", "origUrl"), "origUrl", "left"
+    )
+    fetched = with_popularity(looked_up.withColumn("found", F.col("final").isNotNull()), top)
     if rules.robots is not None:
-        fetched = fetched.unionByName(
-            refused.withColumn("found", F.lit(False)), allowMissingColumns=True
-        )
-    fetched = stage(fetched, "fetched")
+        kept = refused.withColumnRenamed("url", "origUrl").withColumn("found", F.lit(False))
+        fetched = fetched.unionByName(kept, allowMissingColumns=True)
+    fetched = fetched.withColumn("url", F.coalesce("final", "origUrl")).withColumn("crawled_at", F.lit(crawled_at).cast("long"))
+    folder = new_folder(spark, "attempts")
+    fetched.withColumn("round", F.lit(state.rounds)).select(
+        *schemas.NODES.names, "id", "origUrl", "host", "found", "round"
+    ).write.parquet(folder)
+    later = replace(state, folders=(*state.folders, folder), rounds=state.rounds + 1, redirected=redirected)
+    now = replace(later, folders=(folder,)).attempts
 
-    first_time = fetched.filter(F.col("depth") != RECRAWL_DEPTH)
-    stored = first_time.filter("found").withColumn("crawled_at", F.lit(crawled_at).cast("long"))
-    nodes = state.nodes.unionByName(stored.select(*schemas.NODES.names))
-    visited = state.visited.unionByName(first_time.select("url"))
+    stored = now.filter(F.col("found") & (F.col("depth") != RECRAWL_DEPTH))
+    fresh = stored.select("url", "domain")
+    if redirected:  # a page that was stored already is no further page of its domain
+        fresh = drop_visited(fresh.distinct(), state.nodes)
+    counts = state.counts.unionByName(fresh.groupBy("domain").agg(F.count("*").alias("c")))
+    counts = stage(counts.groupBy("domain").agg(F.sum("c").alias("c")), "counts")
+    outcomes = state.outcomes
+    if rules.block_failing:
+        outcomes = stage(_outcomes(outcomes, now.filter(~again), rules.block_failing), "outcomes")
 
-    hrefs = first_time.filter("found").select(
-        F.col("url").alias("page"), "depth", "id", F.posexplode("hrefs").alias("pos", "href")
-    )
+    finders = stored.select(F.col("url").alias("page"), "depth", "id")
+    hrefs = pages.links.join(finders, "page")
     position = F.lpad(F.conv(F.col("pos").cast("string"), 10, 36), 4, "0")
     key = _order_key(state.rounds + 1, F.substring(F.col("id"), F.lit(5), F.length("id")), position)
-    links = with_resolved_url(hrefs, "page", "href", "url").filter(F.col("url").isNotNull()).select(
-        key.alias("id"), "url", (F.col("depth") + 1).alias("depth"), F.col("page").alias("parent")
+    links = hrefs.select(
+        key.alias("id"), F.col("link").alias("url"), (F.col("depth") + 1).alias("depth"), F.col("page").alias("parent"),
+        "host", "origin", "path",
     )
-    links = depth_filter(links, rules.max_depth)
+    if rules.max_depth is not None:
+        links = depth_filter(links, rules.max_depth)
     if rules.blocklist is not None:
-        links = drop_blacklisted(links, rules.blocklist)
-    links = _without_domains(links, rules.auto_blocked)
-    counts = domain_counts(nodes)
-    if rules.cumulative_quota:
-        links = admit_links(links, counts, "id", rules.max_pages)
-    else:
-        links = filter_domain_quota(links, counts, rules.max_pages)
-    new = drop_visited(first_per_key(links, ["url"], ["id"]), visited)
+        links = drop_blacklisted(links, rules.blocklist, domain="host")
+    links = _without_domains(links, rules.auto_blocked, outcomes.filter("blocked") if rules.block_failing else None)
+    if rules.max_pages is not None and rules.cumulative_quota:
+        links = admit_links(links, counts, "id", rules.max_pages, domain="host")
+    elif rules.max_pages is not None:
+        links = filter_domain_quota(links, counts, rules.max_pages, domain="host")
+    new = drop_visited(first_per_key(links, ["url"], ["id"]), later.visited)
     if rules.domain_limit is not None:
-        waiting = drop_visited(state.frontier.filter(~again), visited)
+        waiting = drop_visited(state.frontier.filter(~again), later.visited)
         new = waiting.unionByName(new.join(waiting.select("url"), "url", "left_anti").select(
             *waiting.columns))
-    return CrawlState(nodes, visited, stage(new, "frontier"), state.rounds + 1)
+    return replace(later, frontier=stage(new, "frontier"), counts=counts, outcomes=outcomes)
 
 
 def crawl_bfs(
-    pages: DataFrame,
+    pages: PageTables | DataFrame,
     seeds: DataFrame,
     rules: CrawlRules | None = None,
     started_at: int = 0,
@@ -156,7 +289,8 @@ def crawl_bfs(
     Each round is a fixed number of jobs over staged tables; the driver only sees counts.
     """
     rules = rules or CrawlRules()
-    state = start_state(pages.sparkSession, seeds)
+    pages = page_tables(pages) if isinstance(pages, DataFrame) else pages
+    state = start_state(seeds.sparkSession, seeds)
     at_most = 0  # every waiting url adds one node or none
     while max_rounds is None or state.rounds < max_rounds:
         waiting = state.frontier.count()
@@ -175,15 +309,15 @@ def crawl_bfs(
     return state
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(id, depth)``: the least number of links from a root, up to ``max_depth``.
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """``(id, depth)``: the least number of links from a root, up to ``max_depth`` (None: all).
 
     ``edges`` has ``src`` and ``dst``, ``roots`` has ``id``. Each round joins only the ids
     that are new; found ids are staged per round.
     """
     wave = stage(roots.select("id").distinct().withColumn("depth", F.lit(0)), "wave")
     found = wave
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         targets = (
             edges.join(wave.select(F.col("id").alias("src")), "src", "left_semi")
             .select(F.col("dst").alias("id"))

@@ -19,6 +19,7 @@ HITS_PER_QUERY = 30
 SEED_BATCH = 500
 RECRAWL_SAMPLE = 15
 RECRAWL_DEPTH = -1
+TOP_DOMAINS = 20
 URL_PARTITIONS = 6
 SNAPSHOT_KEEP_DAYS = 7
 
