@@ -13,7 +13,9 @@ from webtrawl.operators import pages as pg
 from webtrawl.operators import seeds as sd
 from webtrawl.operators import tables as tb
 from webtrawl.plans import crawl as cr
+from webtrawl.plans.staging import new_folder
 from webtrawl.settings import BLOCKLIST, SEED_LANGS
+from webtrawl.sources.crawl_store import create_store
 
 # ---------------------------------------------------------------- scalar URL rules
 
@@ -71,7 +73,7 @@ x AS (SELECT page_id, unnest(['plain', 'slashes', 'user', 'lines', 'percent', 'i
   '[::' || printf('%x', page_id % 65535 + 1) || ':0:0:102:3' || printf('%02x', page_id % 256) || ']' AS v6 FROM p),
 y AS (SELECT page_id, form, url, CASE WHEN form IN ('plain', 'slashes', 'user', 'lines', 'percent', 'other') THEN h
   WHEN form = 'ipv4' THEN v4 WHEN form = 'ipv6' THEN v6 WHEN form = 'opaque' THEN '' END AS host FROM x)
-SELECT page_id, form, host, regexp_replace(coalesce(host, ''), 'www\.', '') AS domain,
+SELECT page_id, form, host, regexp_replace(coalesce(host, ''), 'www[.]', '') AS domain,
   CASE form WHEN 'plain' THEN {origin_sql('url')} WHEN 'slashes' THEN 'https://' || host WHEN 'user' THEN 'http://' || host || ':81'
     WHEN 'lines' THEN 'https://' || host WHEN 'percent' THEN 'http://' || host WHEN 'ipv4' THEN 'http://' || host
     WHEN 'ipv6' THEN 'ws://' || host || ':8080' ELSE '' END AS origin, host IS NULL AS blacklisted FROM y""",
@@ -286,31 +288,38 @@ def _page_data(spark, sf):
     return v.nodes(spark, sf).withColumn("origUrl", orig)
 
 
-@query(
-    "save_pages",
+_SAVED = (
     with_views("nodes", "frontier", "visited")
     + """, touched AS (SELECT url FROM nodes UNION SELECT regexp_replace(url, '^https:', 'http:') FROM nodes)
-SELECT 'nodes' AS tbl, count(*) AS n, count(DISTINCT url) AS urls FROM nodes
-UNION ALL SELECT 'visited', count(*), count(DISTINCT url)
-  FROM (SELECT url FROM visited UNION SELECT url FROM touched)
-UNION ALL SELECT 'frontier', count(*), count(DISTINCT url) FROM frontier
-  WHERE url NOT IN (SELECT url FROM touched)""",
+SELECT 'nodes' AS tbl, url, title, depth, parent, crawled_at FROM nodes
+UNION ALL SELECT 'visited', url, NULL, NULL, NULL, NULL FROM (SELECT url FROM visited UNION SELECT url FROM touched)
+UNION ALL SELECT 'frontier', url, NULL, depth, parent, NULL FROM frontier WHERE url NOT IN (SELECT url FROM touched)"""
 )
+
+
+def _crawl_rows(nodes, visited, frontier):
+    """The rows of the three tables under common columns."""
+    rows = nodes.select(F.lit("nodes").alias("tbl"), "url", "title", "depth", "parent", "crawled_at")
+    for name, df in (("visited", visited), ("frontier", frontier)):
+        rows = rows.unionByName(df.select(F.lit(name).alias("tbl"), *[c for c in df.columns if c != "id"]), allowMissingColumns=True)
+    return rows
+
+
+@query("save_pages", _SAVED)
 def save_pages(spark, sf):
-    data = _page_data(spark, sf)
     old = v.nodes(spark, sf).filter(F.col("depth") < 3)
-    nodes, visited, frontier = tb.save_pages(
-        old, v.visited(spark, sf), v.frontier(spark, sf), data
-    )
+    return _crawl_rows(*tb.save_pages(old, v.visited(spark, sf), v.frontier(spark, sf), _page_data(spark, sf)))
 
-    def summary(name, df):
-        return df.agg(
-            F.count("*").alias("n"), F.count_distinct("url").alias("urls")
-        ).select(F.lit(name).alias("tbl"), "n", "urls")
 
-    return summary("nodes", nodes).unionByName(summary("visited", visited)).unionByName(
-        summary("frontier", frontier)
-    )
+@query("commit_pages", _SAVED)
+def commit_pages(spark, sf):
+    """The same through the stored tables, in two batches, one of which comes twice."""
+    data = _page_data(spark, sf)
+    old = v.nodes(spark, sf).filter(F.col("depth") < 3)
+    store = create_store(spark, new_folder(spark, "crawl-store"), old, v.visited(spark, sf), v.frontier(spark, sf), buckets=8)
+    early = F.startswith("origUrl", F.lit("http:"))
+    store = store.save_pages(data.filter(early), batch=1).save_pages(data.filter(~early), batch=2).save_pages(data, batch=1)
+    return _crawl_rows(store.nodes, store.visited, store.frontier)
 
 
 @query(
