@@ -17,16 +17,15 @@ from webtrawl.functions.stemming import STOP_WORDS
 from webtrawl.functions.text import query_terms, sanitize_query, tokens
 from webtrawl.operators.pages import result_view
 from webtrawl.operators.search_index import (
-    NEAR_LETTERS,
     NODE_FIELDS,
     PREFIX_LETTERS,
     STEMMED_FIELDS,
     SearchIndex,
     build_postings,
     create_index,
-    deletions,
     near_keys,
     stem_words,
+    word_keys,
 )
 from webtrawl.plans.staging import stage
 from webtrawl.settings import HITS_PER_QUERY
@@ -289,9 +288,7 @@ def expand_fuzzy(near: DataFrame, words: DataFrame) -> DataFrame:
     """``(word, term, dist)`` for all pairs within the word's allowed edits (exact). ``near`` has
     the terms by their deletion keys, or the terms only."""
     near = near if "key" in near.columns else near_keys(near)
-    sized = words.select("word", allowed_edits("word").alias("e"))
-    keyed = sized.select("word", "e", F.explode(deletions(F.substring("word", 1, NEAR_LETTERS), 2)).alias("_k_"))
-    keyed = keyed.select("word", "e", "_k_.key", "_k_.edits").filter(F.col("edits") <= F.col("e")).select("word", "e", "key")
+    keyed = word_keys(words).withColumn("e", allowed_edits("word")).filter(F.col("edits") <= F.col("e")).select("word", "e", "key")
     distance = F.levenshtein("word", "term", 2)
     return (
         near.join(keyed, "key")
