@@ -692,9 +692,10 @@ def crawl_bfs(spark, sf):
     "crawl_round",
     with_views("page_links", "blocklist", "rules")
     + f""", p AS (SELECT page_id, regexp_replace(url, '#.*', '') AS url FROM pages),
-got AS (SELECT p.* FROM p WHERE NOT starts_with(url, 'https') AND NOT EXISTS (SELECT 1 FROM rules r
+firsts AS (SELECT origin, min(path) AS first FROM rules GROUP BY origin),
+got AS (SELECT p.* FROM p WHERE NOT starts_with(url, 'https') AND NOT EXISTS (SELECT 1 FROM firsts r
   WHERE r.origin = {origin_sql('p.url')}
-  AND starts_with(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1), r.path)))
+  AND starts_with(regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1), r.first)))
 SELECT 'node' AS kind, url, 0 AS depth, parent FROM (SELECT url, NULL::VARCHAR AS parent FROM got)
 UNION ALL SELECT 'frontier', url, 1, parent FROM
   (SELECT d.url, got.url AS parent, row_number() OVER (PARTITION BY d.url ORDER BY got.page_id, l.dst) AS rn
@@ -704,9 +705,10 @@ UNION ALL SELECT 'frontier', url, 1, parent FROM
   WHERE rn = 1""",
 )
 def crawl_round(spark, sf):
-    """One round from the plain-http pages with all rules on: new nodes and new frontier."""
+    """One round from the plain-http pages with all rules on: new nodes and new frontier. Each
+    site disallows the first of its languages."""
     pages = v.linked_pages(spark, sf).withColumn("url", F.regexp_replace("url", "#.*", ""))
-    robots = fr.parse_robots(v.robots(spark, sf))
+    robots = fr.parse_robots(v.robots(spark, sf)).groupBy("origin").agg(F.min("path").alias("path"))
     rules = cr.CrawlRules(robots=robots, blocklist=v.blocklist(spark, sf), max_pages=1 << 30)
     seeds = pages.select(F.col("page_id").alias("id"), "url").filter(~F.startswith("url", F.lit("https")))
     state = cr.expand_frontier(cr.start_state(spark, seeds), pages, rules, 0)
