@@ -36,21 +36,22 @@ def extract_title(html) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(_col(html), TITLE, 1), BLANKS, " "))
 
 
-def extract_meta_description(html) -> Column:
+def extract_meta_description(html, limit: int | None = META_TEXT_LIMIT) -> Column:
     html = _col(html)
     # The first pattern wins whenever it matches, even when its content is empty.
     text = F.when(html.rlike(DESCRIPTION), F.regexp_extract(html, DESCRIPTION, 1)).otherwise(
         F.regexp_extract(html, DESCRIPTION_REVERSED, 1)
     )
-    return F.substring(text, 1, META_TEXT_LIMIT)
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def extract_og_title(html) -> Column:
     return F.regexp_extract(_col(html), OG_TITLE, 1)
 
 
-def extract_og_description(html) -> Column:
-    return F.substring(F.regexp_extract(_col(html), OG_DESCRIPTION, 1), 1, META_TEXT_LIMIT)
+def extract_og_description(html, limit: int | None = META_TEXT_LIMIT) -> Column:
+    text = F.regexp_extract(_col(html), OG_DESCRIPTION, 1)
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def extract_lang(html) -> Column:
@@ -85,13 +86,16 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     )
 
 
-def parse_page(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Page columns from the final URL and its HTML; other input columns pass through."""
+def parse_page(
+    pages: DataFrame, url: str = "url", html: str = "html", text_limit: int | None = META_TEXT_LIMIT
+) -> DataFrame:
+    """Page columns from the final URL and its HTML; other input columns pass through. The
+    descriptions are cut to ``text_limit`` characters (None: whole)."""
     fields = (
         pages.withColumn("title", extract_title(html))
-        .withColumn("metaDescription", extract_meta_description(html))
+        .withColumn("metaDescription", extract_meta_description(html, text_limit))
         .withColumn("ogTitle", extract_og_title(html))
-        .withColumn("ogDescription", extract_og_description(html))
+        .withColumn("ogDescription", extract_og_description(html, text_limit))
         .withColumn("lang", extract_lang(html))
         .withColumn("contentLength", content_length(html))
         .withColumn("domain", get_domain(url))

@@ -88,9 +88,9 @@ def _robots_match() -> Column:
     return (F.col("_origin_") == F.col("_rule_origin_")) & F.startswith("_path_", F.col("_rule_"))
 
 
-def depth_filter(links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Links found too deep are dropped; ``depth`` is the depth of the link itself."""
-    return links.filter(F.col("depth") <= max_depth)
+def depth_filter(links: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """Links found too deep are dropped; ``depth`` is the depth of the link itself. None keeps all."""
+    return links if max_depth is None else links.filter(F.col("depth") <= max_depth)
 
 
 def filter_domain_quota(

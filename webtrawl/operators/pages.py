@@ -61,7 +61,7 @@ def _decode(body, charset):
 
 
 def decode_body(
-    df: DataFrame, body: str, content_type: str, out: str = "html", max_bytes: int = MAX_BODY_BYTES
+    df: DataFrame, body: str, content_type: str, out: str = "html", max_bytes: int | None = MAX_BODY_BYTES
 ) -> DataFrame:
     """Add ``out``: the body text, decoded by header charset, then by the ``<meta>`` charset.
 
@@ -72,7 +72,7 @@ def decode_body(
     utf8_names = ["utf-8", "utf8"]
     data, label = F.col("_data_"), F.col("_label_")
     prepared = (
-        df.withColumn("_data_", F.substring(F.col(body), 1, max_bytes))
+        df.withColumn("_data_", F.col(body) if max_bytes is None else F.substring(body, 1, max_bytes))
         .withColumn("_label_", header_charset(content_type))
         .withColumn("_utf8_", F.make_valid_utf8(data.cast("string")))
     )

@@ -63,9 +63,9 @@ def save_pages(
     )
 
 
-def retain_latest(nodes: DataFrame, visited: DataFrame, n: int = 100_000) -> tuple:
-    """The newest ``n`` nodes, and the visited urls that are still among them."""
-    kept = newest(nodes, "crawled_at", "url", n)
+def retain_latest(nodes: DataFrame, visited: DataFrame, n: int | None = 100_000) -> tuple:
+    """The newest ``n`` nodes (None: all), and the visited urls that are still among them."""
+    kept = nodes if n is None else newest(nodes, "crawled_at", "url", n)
     return kept, visited.join(kept.select("url"), "url", "left_semi")
 
 
