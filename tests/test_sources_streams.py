@@ -9,6 +9,7 @@ from webtrawl import schemas
 from webtrawl.operators import fetchlog as fl
 from webtrawl.operators import requests as rq
 from webtrawl.operators import resilience as rs
+from webtrawl.plans.staging import new_folder
 from webtrawl.sources import messages as ms
 from webtrawl.sources import tables as st
 from webtrawl.sources.metrics_text import render_metrics
@@ -142,3 +143,30 @@ def test_frontier_ingest_over_batches(spark, tmp_path):
     got = sorted((r.url, r.depth) for r in frontier.collect())
     assert [u for u, _ in got] == ["a", "b", "c"] and got[0][1] in (1, 9)
     assert dead.count() == 1
+
+
+def test_sessions_from_slots_equal_sessions_from_attempts(spark):
+    """Pauses of exactly the gap, one busy domain, several small files in the stream."""
+    rng = random.Random(4)
+    rows = [("busy", 1_000 + 7 * i, i % 3 > 0) for i in range(3000)]
+    rows += [(f"d{i % 5}", 60_000 * rng.randrange(200), i % 2 > 0) for i in range(150)]
+    rows += [("even", 600_000 * i, True) for i in range(5)]
+    log = spark.createDataFrame(rows, "domain string, ms long, ok boolean").selectExpr("domain", "timestamp_millis(ms) AS ts", "ok")
+    want = {}
+    for domain in {r[0] for r in rows}:
+        times = sorted((ms, ok) for d, ms, ok in rows if d == domain)
+        open_at = None
+        for ms, ok in times:
+            if open_at is None or ms - last > 600_000:  # noqa: F821
+                open_at = ms
+                want[domain, open_at] = [0, 0, 0]
+            last = ms
+            entry = want[domain, open_at]
+            entry[0], entry[1], entry[2] = ms + 600_000, entry[1] + ok, entry[2] + (not ok)
+    folder = new_folder(spark, "log")
+    log.repartition(4).write.parquet(folder)
+    stream = read_file_stream(spark, folder, log.schema, files_per_batch=2)
+    late = run_update(windows.session_slots(stream, "10 minutes", "30 days"), "slots", ["domain", "slot_ms"])
+    for slots in (windows.session_slots(log, "10 minutes"), late):
+        got = {(r.domain, r.started_at): [r.closes_at, r.success, r.fail] for r in windows.sessions_of_slots(slots, 600_000).collect()}
+        assert got == want

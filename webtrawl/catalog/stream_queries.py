@@ -60,6 +60,13 @@ def domain_sessions(spark, sf):
     return windows.session_stats(v.fetch_log(spark, sf), "1 day")
 
 
+@query("stream_domain_sessions", _SESSIONS_SQL)
+def stream_domain_sessions(spark, sf):
+    """The same from a stream that keeps a row per domain and slot."""
+    slots = run_update(windows.session_slots(_fetch_log(spark, sf), "1 day", "1 hour"), "session_slots", ["domain", "slot_ms"])
+    return windows.sessions_of_slots(slots, DAY)
+
+
 @query("stream_auto_block", SQL["auto_blocklist"])
 def stream_auto_block(spark, sf):
     return run_append(stateful.stream_auto_block(_fetch_log(spark, sf), ratio=0.2), "auto_block")
