@@ -15,8 +15,6 @@ from webtrawl.sources.metrics_text import metric_rows
 DAY = 86_400_000
 HOUR = 3_600_000
 
-
-
 # Rows of a slice in the sliced queries: small, so that even small tables are cut.
 _SLICE_ROWS = 500
 
@@ -291,22 +289,29 @@ UNION ALL SELECT 'crawl_success_total', CAST(success AS VARCHAR) FROM stats
 UNION ALL SELECT 'crawl_fail_total', CAST(fail AS VARCHAR) FROM stats
 UNION ALL SELECT 'crawl_error_rate_pct', printf('%.2f', CAST(error_pct AS DOUBLE)) FROM stats
 UNION ALL SELECT 'crawl_domains_blacklisted', CAST((SELECT count(*) FROM blocked) AS VARCHAR)
-UNION ALL SELECT 'crawl_pages_per_second', printf('%.4f', CAST(rate AS DOUBLE)) FROM stats"""
+UNION ALL SELECT 'crawl_pages_per_second', printf('%.4f', CAST(rate AS DOUBLE)) FROM stats
+UNION ALL SELECT 'crawl_domains_total', CAST((SELECT count(DISTINCT domain) FROM fetch_log) AS VARCHAR)
+UNION ALL SELECT 'crawl_avg_fetch_latency_ms', printf('%.0f', CAST(avg_latency_ms AS DOUBLE)) FROM stats
+UNION ALL SELECT 'crawl_uptime_seconds', CAST((hi - lo) // 1000 AS VARCHAR) FROM stats
+UNION ALL SELECT 'crawl_concurrency', CAST(busy AS VARCHAR) FROM (SELECT count(*) AS busy FROM fetch_log, stats WHERE ts_ms + fetch_ms >= hi)
+UNION ALL SELECT unnest(['crawl_cpu_load', 'crawl_memory_rss_bytes', 'crawl_memory_heap_used_bytes']), '0'"""
 
 
 @query("metric_rows", _METRICS)
 def metric_rows_(spark, sf):
-    stats = fl.crawl_stats(v.fetch_log(spark, sf)).select(
+    """All metrics; the log says nothing of the machine's load and memory, which read as 0."""
+    log = v.fetch_log(spark, sf)
+    end = log.agg(F.max("ts_ms")).scalar()
+    stats = fl.crawl_stats(log).select(
         "*",
         v.nodes(spark, sf).agg(F.count("*").alias("n")).scalar().alias("node_count"),
         v.frontier(spark, sf).agg(F.count("*").alias("n")).scalar().alias("frontier_count"),
-        fl.domains_blocked(v.fetch_log(spark, sf), ratio=0.2).scalar().alias("domains_blocked"),
+        fl.domains_blocked(log, ratio=0.2).scalar().alias("domains_blocked"),
+        fl.domains_checked(log).scalar().alias("domains_checked"),
+        log.agg(F.floor((F.max("ts_ms") - F.min("ts_ms")) / 1000)).scalar().alias("uptime_s"),
+        log.filter(F.col("ts_ms") + F.col("fetch_ms") >= end).agg(F.count("*")).scalar().alias("concurrency"),
     )
-    shown = ["nodes_total", "frontier_total", "success_total", "fail_total", "error_rate_pct",
-             "domains_blacklisted", "pages_per_second"]
-    return metric_rows(stats).filter(
-        F.col("name").isin([f"crawl_{n}" for n in shown])
-    ).select("name", "value")
+    return metric_rows(stats).select("name", "value")
 
 
 # ---------------------------------------------------------------- requests

@@ -335,11 +335,12 @@ def latest_pages(spark, sf):
     "retain_latest",
     with_views("nodes", "visited")
     + """, kept AS (SELECT url FROM nodes ORDER BY crawled_at DESC, url LIMIT 100)
-SELECT v.url FROM visited v JOIN kept USING (url)""",
+SELECT 'visited' AS tbl, v.url FROM visited v JOIN kept USING (url) UNION ALL SELECT 'nodes', url FROM kept""",
 )
 def retain_latest(spark, sf):
-    _, visited = tb.retain_latest(v.nodes(spark, sf), v.visited(spark, sf), 100)
-    return visited
+    nodes, visited = tb.retain_latest(v.nodes(spark, sf), v.visited(spark, sf), 100)
+    kept = nodes.select(F.lit("nodes").alias("tbl"), "url")
+    return kept.unionByName(visited.select(F.lit("visited").alias("tbl"), "url"))
 
 
 @query(
