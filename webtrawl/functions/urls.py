@@ -2,7 +2,7 @@
 
 A URL is taken apart as the public URL standard does it: blanks around it and line breaks in it
 are dropped, backslashes count as slashes and missing slashes are made up for in the schemes of
-the web, hosts are decoded, lower-cased and put in their ASCII form, IPv4 hosts may be written in
+the web, hosts are decoded and lower-cased, IPv4 hosts may be written in
 octal, hexadecimal or fewer parts, IPv6 hosts are shortened, and ports must fit 16 bits. Plain
 lower-case URLs take a short way. All of it stays inside the JVM; a malformed URL gives null or
 an empty host, never an error. URLs are given as names of columns.
@@ -82,13 +82,11 @@ def _ipv6(text: str) -> str:
 
 
 def _name(host: str) -> str:
-    """The ASCII form of a host name of the web, or its IPv4 address; null if it is neither."""
+    """A host name of the web in lower case, or its IPv4 address; null if it is neither."""
     decoded = f"CASE WHEN contains({host}, '%') THEN try_url_decode(replace({host}, '+', '%2B')) ELSE {host} END"
-    # Unassigned characters are let through, as the standard's mapping is a newer one.
-    in_ascii = _named(decoded, "d", "lower(CASE WHEN octet_length(d) <> length(d) THEN try_reflect('java.net.IDN', 'toASCII', d, 1) ELSE d END)")
     last = r"element_at(split(regexp_replace(n, r'\.$', ''), r'\.'), -1)"
     return _named(
-        in_ascii, "n",
+        f"lower({decoded})", "n",
         f"CASE WHEN n = '' OR n RLIKE r'{_FORBIDDEN_IN_NAMES}' THEN NULL WHEN {last} RLIKE '{_NUMBER}' THEN {_ipv4('n')} ELSE n END",
     )
 
@@ -139,8 +137,8 @@ def url_parts(url: str) -> Column:
     """``scheme, host, port, rest`` of a URL, null if it is not valid. ``host`` is empty where the
     scheme has none; ``port`` is null if it is the scheme's own; ``rest`` starts after the port.
 
-    Names are mapped to ASCII by the rules of the older of two internet standards: sharp s becomes
-    ss. Names that are given as ``xn--`` are not checked.
+    Names with letters beyond ASCII are only lower-cased here; ``with_resolved_url`` of a URL on
+    itself gives it the ASCII form. Names that are given as ``xn--`` are not checked.
     """
     plain = (
         f"named_struct('scheme', regexp_extract({{0}}, r'{_PLAIN}', 1), 'host', regexp_extract({{0}}, r'{_PLAIN}', 2),"
@@ -187,6 +185,15 @@ def get_path(url: str) -> Column:
     return F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
 
 
+def standard_places(url: str) -> tuple[Column, Column, Column]:
+    """Domain, origin and path of http and https URLs that are in the standard's form already, as
+    resolved links are; patterns are enough for these."""
+    host = r"\[[0-9a-f:]+\]|[^/:?#]*"
+    start = r"^(https?://)(?:[^/?#@]*@)?"
+    origin = F.concat(F.regexp_extract(url, start, 1), F.regexp_extract(url, rf"{start}((?:{host})(?::[0-9]+)?)", 2))
+    return strip_www(F.regexp_extract(url, rf"{start}({host})", 2)), origin, F.regexp_extract(url, "^[a-z]+://[^/?#]*([^?#]*)", 1)
+
+
 def is_https(url) -> Column:
     return F.coalesce(F.startswith(_col(url), F.lit("https")), F.lit(False)).cast("int")
 
@@ -237,7 +244,7 @@ def with_resolved_url(df: DataFrame, base: str, ref: str, out: str = "link") ->
     common case, are put together in the JVM; only the others are handed to Python, in Arrow
     batches.
     """
-    origin = get_origin(base)
+    origin = F.regexp_extract(base, _PLAIN, 0)
     rooted = F.col(ref).rlike(_CLEAN_ROOTED) & (origin != "")
     absolute = F.col(ref).rlike(_CLEAN_ABSOLUTE)
     simple = F.when(rooted, F.concat(origin, F.col(ref))).when(absolute, F.col(ref))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webtrawl import schemas
 from webtrawl.functions.html import extract_links, parse_page
-from webtrawl.functions.urls import get_domain, get_origin, get_path
+from webtrawl.functions.urls import get_domain, get_origin, get_path, standard_places
 from webtrawl.operators.fetchlog import trips_block
 from webtrawl.operators.frontier import (
     admit_links,
@@ -42,8 +42,8 @@ _COUNTS = "domain string, c long"
 _OUTCOMES = "domain string, total long, fails long, blocked boolean"
 
 
-def _places(url: str) -> list[Column]:
-    return [get_domain(url).alias("host"), get_origin(url).alias("origin"), get_path(url).alias("path")]
+def _named_places(host: Column, origin: Column, path: Column) -> list[Column]:
+    return [host.alias("host"), origin.alias("origin"), path.alias("path")]
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def page_tables(pages: DataFrame, redirects: DataFrame | None = None, buckets: i
         ways = redirects.select(F.col("url").alias("asked"), "final")
         led = records.drop("url").join(ways, "final").select(F.col("asked").alias("url"), "final", *_FOUND)
         records = records.join(ways, F.col("url") == F.col("asked"), "left_anti").unionByName(led)
-    links = extract_links(known).select(F.col("url").alias("page"), "pos", "link", *_places("link"))
+    links = extract_links(known).select(F.col("url").alias("page"), "pos", "link", *_named_places(*standard_places("link")))
     return PageTables(_bucketed(records, "url", buckets), _bucketed(links, "page", buckets), redirects is not None)
 
 
@@ -167,7 +167,7 @@ def start_state(spark, seeds: DataFrame, nodes: DataFrame | None = None) -> Craw
     )
     if known:
         rows = drop_visited(rows, nodes.select("url"))
-    rows = rows.select("*", *_places("url"))
+    rows = rows.select("*", *_named_places(get_domain("url"), get_origin("url"), get_path("url")))
     counts = stage(domain_counts(nodes).select("domain", "c"), "counts") if known else spark.createDataFrame([], _COUNTS)
     return CrawlState(nodes, stage(rows, "frontier"), counts, spark.createDataFrame([], _OUTCOMES))
 
