@@ -220,14 +220,14 @@ def search_stemmed(index: SearchIndex | DataFrame, queries: DataFrame, k: int =
     index = _indexed(index)
     wanted = stage(
         query_words(queries)
-        .filter(~F.col("word").isin(STOP_WORDS))
+        .filter(~F.col("word").isin(*STOP_WORDS))
         .withColumn("word", stem_words("word"))
         .select("query_id", "word")
         .distinct(),
         "stems",
     )
     expanded = stage(
-        index.vocabulary().filter(~F.col("term").isin(STOP_WORDS)).withColumnRenamed("stem", "word")
+        index.vocabulary().filter(~F.col("term").isin(*STOP_WORDS)).withColumnRenamed("stem", "word")
         .join(wanted.select("word").distinct(), "word").select("word", "term"),
         "stem_terms",
     )
