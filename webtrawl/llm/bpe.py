@@ -15,14 +15,13 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from webtrawl.llm.common import CACHE_WORDS, id_text, text_chunks
+from webtrawl.llm.common import CACHE_WORDS, id_text, kept_in_worker, text_chunks
 
 #: Fixed values of the byte-level vocabulary format: the pattern of its pieces.
 PIECES = regex.compile(
@@ -117,9 +116,8 @@ class ByteBPE:
         return b"".join(map(self.strings.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def _loaded(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    return kept_in_worker(f"bpe {path}", lambda: ByteBPE(path))
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

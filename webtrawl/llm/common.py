@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +79,28 @@ def flagged(df: DataFrame, mark: Column, marks: DataFrame, name: str, bits: int
     return own.join(F.broadcast(bitmap), "_part", "left").select(*df.columns, F.coalesce(is_set, F.lit(False)).alias(name))
 
 
+def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once per Python worker and kept for its later tasks. It is kept in
+    a module of its own, as this package's modules travel by value and are new in every task."""
+    kept = sys.modules.setdefault("_webtrawl_kept", types.ModuleType("_webtrawl_kept"))
+    if name not in vars(kept):
+        vars(kept)[name] = make()
+    return vars(kept)[name]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system. Workers are used again by later tasks and stages, and
+    what one of them has freed would else count against the executor until it ends."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in batches of about ``limit`` bytes of text; one row at least."""
+    """The rows in order, in batches of about ``limit`` bytes of text; one row at least. Freed
+    memory is given back when the task's rows are through."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -87,6 +110,7 @@ def text_chunks(
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release_memory()
 
 
 def words(text: str | None) -> list[bytes]:
