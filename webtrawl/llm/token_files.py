@@ -16,20 +16,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webtrawl.llm.common import id_text, text_chunks
+from webtrawl.llm.common import id_text, kept_in_worker, text_chunks
 
 #: Words a worker keeps the ids of (about 200 bytes each), and the longest word kept.
 CACHE_WORDS, CACHED_BYTES = 1_200_000, 40
+#: Words that are encoded as one text.
+WORDS_AT_ONCE = 500
 
 _SHARD = "part int, docs long, ids long, name string"
 SHARDS = "shard int, docs long, ids long, first_doc long, first_id long, path string, dtype string"
@@ -48,28 +49,59 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[bytes, bytes] = {}
+        # A sign of one id to stand between words that are encoded in one text.
+        ids = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in "|~^§¤"}
+        self.sign = next(((c, i[0]) for c, i in ids.items() if len(i) == 1), None)
+
+    def _encoded(self, words: list[bytes], dtype: np.dtype) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of words. Hundreds of them go to the library as one text, which takes half the time;
+        words that hold the sign between them are encoded alone."""
+        alone, joined = words, []
+        if self.sign is not None:
+            mark = self.sign[0].encode()
+            alone = [w for w in words if mark in w]
+            joined = [w for w in words if mark not in w] if alone else words
+        groups = [joined[at : at + WORDS_AT_ONCE] for at in range(0, len(joined), WORDS_AT_ONCE)]
+        between = f" {self.sign[0]} ".encode() if joined else b""
+        texts = [between.join(group).decode() for group in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype)
+            cuts = np.flatnonzero(ids == self.sign[1]).tolist()
+            if len(cuts) != len(group) - 1:  # some other sign has the same id
+                alone += group
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            for word, start, end in zip(group, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                yield word, raw[(start + 1) * size : end * size]
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)
+        for word, found in zip(alone, encoded, strict=True):
+            yield word, np.array(found.ids, dtype).tobytes()
+
+    def __call__(self, texts: list[bytes | None], dtype: np.dtype, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's closed by the end id, and how many each text has. The
+        texts' words are numbered as one array; only different words are looked up."""
+        cut = [t.split() if t else [] for t in texts]
+        coded = pa.array(list(chain.from_iterable(cut)), pa.binary()).dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        new = dict(self._encoded([w for w in words if w not in self.cache], dtype))
+        found = [new[w] if w in new else self.cache[w] for w in words]
+        self.cache.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_BYTES)
+        pool = np.frombuffer(b"".join(found), dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // dtype.itemsize
+        each = size[codes]
+        starts = np.cumsum(each) - each
+        text = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        counts = np.bincount(text, weights=each, minlength=len(cut)).astype(np.int64)
+        flow = np.arange(int(each.sum()))
+        out = np.full(len(flow) + len(cut), end_id, dtype)
+        out[flow + np.repeat(np.arange(len(cut)), counts)] = pool[np.repeat((np.cumsum(size) - size)[codes] - starts, each) + flow]
+        return out, counts + 1
+
 
-    def __call__(self, texts: list[str | None], dtype: np.dtype, end_id: int) -> list[bytes]:
-        cache, end = self.cache, np.array([end_id], dtype).tobytes()
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        cut = [t.encode().split() if t else [] for t in texts]
-        new = list(set().union(*cut).difference(cache))
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, dtype).tobytes()) for w, e in zip(part, found, strict=True))
-        known = cache.__getitem__
-        out = [b"".join([*map(known, text), end]) for text in cut]
-        for word in new:
-            if len(word) > CACHED_BYTES:
-                del cache[word]
-        return out
-
-
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept_in_worker(f"words {path}", lambda: WordEncoder(path))
 
 
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -102,10 +134,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             if flat is None:
                 fs.create_dir(root, recursive=True)
                 flat = fs.open_output_stream(f"{root}/{name}.ids")
-            for ids in encode(chunk.column("text").to_pylist(), np.dtype(dtype), end_id):
-                flat.write(ids)
-                n_ids += len(ids) // int(dtype[-1])
-                sizes.append(n_ids)
+            ids, counts = encode(chunk.column("text").cast(pa.binary()).to_pylist(), np.dtype(dtype), end_id)
+            flat.write(ids.tobytes())
+            sizes += (n_ids + np.cumsum(counts)).tolist()
+            n_ids += len(ids)
             keys += chunk.column("doc_id").to_pylist()
         if flat is None:
             return
@@ -163,5 +195,5 @@ def read_token_files(spark: SparkSession, shards: DataFrame, docs_per_batch: int
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    spread = shards.repartition(F.col("shard"))
+    spread = shards.repartition(max(1, shards.count()))  # a number that adaptive execution keeps
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
