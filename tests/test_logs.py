@@ -10,7 +10,7 @@ from webtrawl.operators import fetchlog as fl
 from webtrawl.operators import requests as rq
 from webtrawl.operators import resilience as rs
 from webtrawl.plans.chains import anchored_starts
-from webtrawl.plans.hotkeys import running_totals
+from webtrawl.plans.hotkeys import SLICE, running_totals, with_slices
 
 
 def skewed(n, seed, span=20_000):
@@ -208,3 +208,14 @@ def test_latency(spark):
     df = spark.createDataFrame(rows, "kind string, duration_ms long")
     got = {r.kind: r for r in rq.latency_percentiles(df).collect()}
     assert abs(got["search"].p95 - 95.05) < 1e-9 and got["search"].met and not got["page"].met
+
+
+def test_small_slices_take_few_tasks(spark):
+    calls = spark.range(4000).select(F.lit("a").alias("name"), "id", F.col("id").alias("ts_ms"), (F.col("id") % 3 > 0).alias("ok"))
+    cut = with_slices(calls, ["name"], "ts_ms", 20, "id")
+    sizes = [r["count"] for r in cut.groupBy(SLICE).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 20
+    files = [f for f in cut.inputFiles() if "/slices-" in f]
+    assert 0 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = cut.groupBy(SLICE).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy(SLICE).collect()
+    assert all(a.high < b.low for a, b in zip(ends, ends[1:]))

@@ -18,29 +18,39 @@ from webtrawl.plans.staging import stage
 SLICE_ROWS = 1_000_000
 SLICE = "_slice_"
 SLICED = "_sliced_"
+_SHIFT = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
 def with_slices(
-    df: DataFrame, keys: Sequence[str], ms: str, slice_rows: int = SLICE_ROWS, tie: str | None = None
+    df: DataFrame, keys: Sequence[str], ms: str, slice_rows: int = SLICE_ROWS, tie: str | None = None,
+    whole: Column | None = None,
 ) -> DataFrame:
-    """Add the slice number and whether the row's key has several slices.
+    """Add the slice number and whether the row's key has several slices. A key with a row that is
+    ``whole`` is only cut beyond ``SLICE_ROWS``.
 
-    The rows of the keys over the limit are range-partitioned by (keys, ms, tie) into parts of
-    half the limit on average, sampled bounds leave no part near twice that; the part's number is
-    the slice. Only these rows are moved and written. At most ``rows / slice_rows`` keys are over
-    the limit, which bounds the joins' right side; rows alike in all of keys, ``ms`` and ``tie``
-    stay together.
+    The rows of the keys over the limit are range-partitioned and sorted by (keys, ms, tie), into
+    shuffle partitions at the most, however small the slices are: the driver gets a sample and a
+    task's result per partition. Every partition is cut by row number into slices of half the limit.
+    Only these rows are moved and written. At most ``rows / slice_rows`` keys are over the limit,
+    which bounds the joins' right side.
     """
     keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n_")).filter(F.col("_n_") > slice_rows)
+    limit = F.lit(slice_rows)
+    if whole is not None:
+        limit = F.when(F.col("_whole_"), max(slice_rows, SLICE_ROWS)).otherwise(limit)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n_"), F.max(F.lit(False) if whole is None else whole).alias("_whole_"))
+    hot = counts.filter(F.col("_n_") > limit).drop("_whole_")
     hot = stage(hot, "hot-keys")
     parts = hot.agg(F.sum(F.ceil(F.col("_n_") * 2 / slice_rows))).first()[0]
     if not parts:
         return df.withColumn(SLICE, F.lit(0).cast("long")).withColumn(SLICED, F.lit(False))
     names = hot.select(*keys)
     order = [*keys, ms, *([tie] if tie else [])]
-    cut = df.join(names, keys, "left_semi").repartitionByRange(int(parts), *order)
-    cut = stage(cut.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices")
+    tasks = min(int(parts), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = df.join(names, keys, "left_semi").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    within = F.floor(place.bitwiseAND((1 << _SHIFT) - 1) / max(slice_rows // 2, 1)).cast("long")
+    cut = stage(cut.withColumn(SLICE, F.spark_partition_id().cast("long") * F.lit(1 << _SHIFT) + within), "slices")
     rest = df.join(names, keys, "left_anti").withColumn(SLICE, F.lit(0).cast("long"))
     return rest.withColumn(SLICED, F.lit(False)).unionByName(cut.withColumn(SLICED, F.lit(True)))
 
@@ -83,7 +93,9 @@ def running_totals(
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[
-            (F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n)
+            F.coalesce(
+                F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0)), F.col(f"_before_{n}")
+            ).alias(n)
             for n in totals
         ],
     )
