@@ -219,3 +219,21 @@ def test_small_slices_take_few_tasks(spark):
     assert 0 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = cut.groupBy(SLICE).agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy(SLICE).collect()
     assert all(a.high < b.low for a, b in zip(ends, ends[1:]))
+
+
+def test_a_busy_breaker_is_cut_by_default(spark, monkeypatch):
+    seen = []
+    real = rs.with_slices
+    monkeypatch.setattr(rs, "with_slices", lambda df, keys, ms, n, *a: seen.append(n) or real(df, keys, ms, n, *a))
+    rs.circuit_breaker(spark.createDataFrame([("a", 1, 1, True)], "name string, id long, ts_ms long, ok boolean"))
+    assert seen == [100_000]
+
+
+def test_unknown_values_give_the_same_in_slices(spark):
+    rows = [("a" if i % 4 else "b", i, i * 7, None if i % 5 == 0 else i % 3 > 0) for i in range(200)]
+    calls = spark.createDataFrame(rows, "name string, id long, ts_ms long, ok boolean")
+    amount = {"n": (~F.col("ok")).cast("long")}
+    cut, one = (sorted(running_totals(calls, ["name"], "ts_ms", "id", amount, n).select("id", "n").collect()) for n in (4, 10**6))
+    assert cut == one
+    cut, one = (sorted(map(str, rs.circuit_breaker(calls, 3, 50, 2, n).collect())) for n in (20, 10**6))
+    assert cut == one

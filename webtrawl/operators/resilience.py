@@ -30,6 +30,10 @@ from webtrawl.settings import (
 )
 
 
+#: Calls a Python worker holds at a time to replay a breaker.
+BREAKER_ROWS = 100_000
+
+
 def breaker_limits(
     threshold: int | None = None, reset_ms: int | None = None, half_open_max: int | None = None
 ) -> Limits:
@@ -46,7 +50,7 @@ def circuit_breaker(
     threshold: int = BREAKER_THRESHOLD,
     reset_ms: int = BREAKER_RESET_MS,
     half_open_max: int = BREAKER_HALF_OPEN_MAX,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int = BREAKER_ROWS,
 ) -> DataFrame:
     """Replay each named breaker over its calls in (ts_ms, id) order.
 
@@ -56,7 +60,8 @@ def circuit_breaker(
     those tables gives every slice its true start, and the slices are replayed in parallel.
     """
     limits = breaker_limits(threshold, reset_ms, half_open_max)
-    cut = with_slices(calls.select("name", "id", "ts_ms", "ok"), ["name"], "ts_ms", slice_rows, "id")
+    unknown = F.col("ts_ms").isNull() | F.col("ok").isNull()  # no table of end states allows for these
+    cut = with_slices(calls.select("name", "id", "ts_ms", "ok"), ["name"], "ts_ms", slice_rows, "id", unknown)
 
     def summarise(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ts_ms", "id"])
