@@ -169,8 +169,7 @@ def _document_counts(index: SearchIndex, words: DataFrame, expanded: DataFrame)
     long = expanded.filter(F.length("word") > PREFIX_LETTERS)
     if long.isEmpty():
         return counted
-    postings = index.postings().filter(F.col("field").isin(index.document_fields))
-    return counted.unionByName(postings.join(long, "term").groupBy("word").agg(F.count_distinct("doc").alias("n")))
+    return counted.unionByName(index.document_postings(long).join(long, "term").groupBy("word").agg(F.count_distinct("doc").alias("n")))
 
 
 def search_prefix(index: SearchIndex, queries: DataFrame, k: int = HITS_PER_QUERY) -> DataFrame:
@@ -187,8 +186,7 @@ def search_prefix(index: SearchIndex, queries: DataFrame, k: int = HITS_PER_QUER
         "words", F.count("*").over(W.partitionBy("query_id"))
     ).withColumn("known", F.count("n").over(W.partitionBy("query_id")))
     known = stage(known.filter(F.col("words") == F.col("known")).drop("known"), "known")
-    postings = index.postings().filter(F.col("field").isin(index.document_fields)).select("term", "doc", "tf", "doc_len")
-    found = matching_all(postings, known.select("query_id", "word", "n"), expanded).groupBy("query_id", "doc", "word").agg(
+    found = matching_all(index.document_postings(), known.select("query_id", "word", "n"), expanded).groupBy("query_id", "doc", "word").agg(
         F.sum("tf").alias("f"), F.max("doc_len").alias("dl")
     )
     whole = index.field_counts().filter(F.col("field") == "")
@@ -236,9 +234,8 @@ def search_stemmed(index: SearchIndex | DataFrame, queries: DataFrame, k: int =
     known = wanted.join(dfs, "word", "left").withColumn("words", F.count("*").over(W.partitionBy("query_id")))
     known = known.withColumn("known", F.count("n").over(W.partitionBy("query_id")))
     known = stage(known.filter(F.col("words") == F.col("known")).drop("known"), "known")
-    postings = index.postings().filter(in_phrase).select("term", "doc", "at")
     found = (
-        matching_all(postings, known.select("query_id", "word", "n"), expanded)
+        matching_all(index.phrase_postings(), known.select("query_id", "word", "n"), expanded)
         .groupBy("query_id", "doc")
         .agg(F.collect_list(F.struct("word", "at")).alias("_m_"))
         .join(known.groupBy("query_id").agg(F.max("words").alias("words")), "query_id")
@@ -325,7 +322,8 @@ def search_fuzzy(
         "query_terms",
     )
     part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len")))
-    scored = index.postings().join(weighted, ["term", "field"]).select("query_id", "doc", "field", (F.col("weight") * part).alias("s"))
+    postings = index.postings(terms=weighted, columns=["term", "field", "doc", "tf", "field_len"])
+    scored = postings.join(weighted, ["term", "field"]).select("query_id", "doc", "field", (F.col("weight") * part).alias("s"))
     # One sum per field side by side: a single shuffle gives the best field of each document.
     sums = [F.sum(F.when(F.col("field") == f, F.col("s"))).alias(f"_{f}_") for f in boosts]
     best = F.greatest(*[f"_{f}_" for f in boosts]) if len(boosts) > 1 else F.col(f"_{[*boosts][0]}_")
