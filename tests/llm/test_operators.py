@@ -200,6 +200,24 @@ def test_near_duplicates_lose_no_link(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_a_large_family_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [(1, " ".join(base))]
+    for d in range(2, 402):  # a star: what is far from the centre shares no edit with any other
+        words = list(base)
+        for k in rng.choice(150, rng.integers(1, 14), replace=False):
+            words[k] = f"e{d}x{k}"
+        texts.append((d, " ".join(words)))
+    asked, estimated = [], near_dedup._estimated
+    monkeypatch.setattr(near_dedup, "_estimated", lambda rows: asked.append(rows.count()) or estimated(rows))
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=4).collect()
+    expected = groups_by_force(texts, 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+    assert 50 < sum(component == 1 for _, component in expected.values()) < 350
+    assert sum(asked) < 12 * len(texts)
+
+
 def test_an_id_ties_all_its_texts_together(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(20))
     rows = [(5, text("a")), (5, text("b")), (3, text("b")), (5, text("c")), (4, text("c")), (9, text("a")), (7, text("d"))]

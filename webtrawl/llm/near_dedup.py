@@ -11,11 +11,15 @@ values are banded: sets that agree in a whole band meet in a bucket.
    rows estimates the similarity; pairs clearly below the threshold go, the others are verified
    on full shingle sets. The links' components are formed.
 3. Buckets of all bands that hold nodes of several components stay open. As long as that finds
-   many links, one node of each component meets one of the bucket's largest component, other nodes in
-   every round. So a large group becomes one component by a few links for each node.
-4. In the buckets that are open still, all nodes of different components meet, each pair in the
-   first bucket it shares, so no link is lost that could join two components, and pairs inside a
-   component are never made.
+   many links, one node of each component meets one of the bucket's largest component, in every other
+   round the one that meets most nodes in all its buckets: the centre, where a family has one. So a
+   large group becomes one component by a few links for each node.
+4. The nodes in buckets that are open still meet by their rare shingles. Shingles are put in one order
+   for all sets, first those that only one component holds, then by how many sets hold them. Two sets
+   are not similar enough if too few shingles follow in either set on the first they share, so a set
+   is found by its first shingles, and by each only where enough follow. No link is lost that could
+   join two components, pairs inside a component are never made, and a set with enough shingles of
+   its own makes no pair, however many sets share the others with it.
 5. The components of all links are the groups.
 """
 
@@ -46,6 +50,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.02, 20.0, 65_534
 #: Rounds of step 3 go on while one pair in so many is a link; step 4 finds what they leave.
 WORTHWHILE = 50
+#: Ratio of the classes of set sizes in which sets meet by a shingle.
+SIZE_CLASS = 1.05
 #: Pairs estimated lower than this are not verified: about five standard errors below 0.8, which
 #: is as rare as missing each other in all bands.
 LEAST_ESTIMATE = 0.66
@@ -198,30 +204,79 @@ def _still_open(placed: DataFrame) -> DataFrame:
     return among(placed, "bucket", stage(split.select("bucket"), "split"))
 
 
+def _weighted(members: DataFrame) -> DataFrame:
+    """``members`` with weight, the number of times that their node meets a node in its buckets."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weights = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    return members.join(weights, "node")
+
+
 def _pairs_of_groups(members: DataFrame, turn: int) -> DataFrame:
-    """A node of each component of a bucket with a node of the bucket's largest component."""
-    order = F.xxhash64("node", F.lit(turn))
-    ones = members.groupBy("bucket", "g").agg(F.min_by("node", F.struct(order, "node")).alias("a"), F.count("*").alias("size"))
-    largest = ones.groupBy("bucket").agg(F.max_by(F.struct("a", "g"), F.struct("size", -F.col("g"))).alias("top"))
-    met = ones.join(largest, "bucket").where(F.col("g") != F.col("top.g"))
-    return _closest(met.select("a", F.col("top.a").alias("b")))
-
-
-def _likely_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in one bucket that may be links, each once, from the first
-    bucket they share. Registers travel with the buckets' members, so pairs are never shuffled."""
-    asked = among(nodes, "node", members.select("node")).select("node", "registers", _bands().alias("bands"))
-    keyed = members.select("bucket", "node", "n", "g").join(asked, "node")
-    x, y = (keyed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "g", "registers", "bands")]) for s in "xy")
-    across = x.join(
-        y,
-        (x.bucket == y.bucket)
-        & (F.col("g_x") < F.col("g_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & (F.array_intersect("bands_x", "bands_y")[0] == x.bucket),
-    )
-    sides = [F.col(f"{c}_{s}").alias(f"{d}{t}") for c, d in (("node", ""), ("n", "n_"), ("registers", "r_")) for s, t in ("xa", "yb")]
-    return _estimated(across.select(*sides))
+    """A node of each component of a bucket with a node of the bucket's largest component: of the
+    one any node, of the other any node in odd turns and that of the largest weight in even ones."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    first = F.min_by("node", order) if turn % 2 else F.max_by("node", F.struct("weight", -F.col("node")))
+    ones = members.groupBy("bucket", "g").agg(F.min_by("node", order).alias("a"), first.alias("b"), F.count("*").alias("size"))
+    largest = ones.groupBy("bucket").agg(F.max_by(F.struct("b", "g"), F.struct("size", -F.col("g"))).alias("top"))
+    met = ones.drop("b").join(largest, "bucket").where(F.col("g") != F.col("top.g"))
+    return _closest(met.select("a", F.col("top.b").alias("b")))
+
+
+def _shingle_keys(docs: DataFrame, shingle: int) -> DataFrame:
+    """set_id, keys (64-bit integers, little-endian) of every text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            sets = [shingle_set(words(text), shingle) for text in chunk.column("text").to_pylist()]
+            ids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            keys = pa.ListArray.from_arrays(
+                np.cumsum([0, *map(len, sets)], dtype=np.int32), np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            )
+            yield pa.RecordBatch.from_arrays([ids, keys], ["set_id", "keys"])
+
+    return docs.mapInArrow(run, "set_id binary, keys array<long>")
+
+
+def _first_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The shingles of step 4 by which the nodes of ``members`` are found: key, node, g, n, i (the
+    number of shingles before it in its set), major (the component with most rows of the key)."""
+    open_nodes = stage(members.select("node", "g").distinct(), "residue")
+    asked = among(nodes.select("set_id", "node", "n"), "node", open_nodes.select("node")).join(open_nodes, "node")
+    keys = _shingle_keys(among(docs, "doc_id", open_nodes.select("node")), shingle)
+    one_each = keys.groupBy("set_id").agg(F.first("keys").alias("keys"))
+    held = stage(asked.join(one_each, "set_id"), "held").select("set_id", "node", "n", "g", F.explode("keys").alias("key"))
+    by_key = held.groupBy("key").agg(F.count("*").alias("sets"), F.min("g").alias("low"), F.max("g").alias("high"))
+    shared = by_key.where("low < high").select("key", "sets")
+    of_set = held.join(shared, "key").groupBy("set_id", "node", "n", "g").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("last"))
+    placed = of_set.select("node", "n", "g", (F.col("n") - F.size("last")).alias("own"), F.posexplode("last").alias("at", "it"))
+    rows = placed.select(F.col("it.key").alias("key"), "node", "g", "n", (F.col("own") + F.col("at")).alias("i"))
+    first = stage(rows.where(100 * (F.col("n") - F.col("i")) >= percent * F.col("n")), "first")
+    most = first.groupBy("key", "g").agg(F.count("*").alias("size")).groupBy("key")
+    return first.join(most.agg(F.max_by("g", F.struct("size", -F.col("g"))).alias("major")), "key")
+
+
+def _pairs_across(first: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that meet by a shingle in ``first``, each once.
+
+    In one of the two sets the shingle is outside the key's major component, so a shingle of nearly
+    all members of a component makes no more rows than others need. Sets meet in classes of sizes;
+    the larger set looks into those where the shingles that follow on the shared one are enough."""
+    whole, n, i = 100 + percent, F.col("n"), F.col("i")
+    size_class = lambda size: F.floor(F.log(size.cast("double")) / float(np.log(SIZE_CLASS)))
+    side = lambda df, s: df.select("key", "class", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "g", "n", "i")])
+    minor = F.col("g") != F.col("major")
+    below = first.where(whole * (n - i) >= 2 * percent * n).withColumn("class", size_class(n))
+    least, most = F.ceil(percent * n / 100), F.least(n, F.floor((100 * n - whole * i) / percent))
+    above = first.where(least <= most).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
+
+    def met(large: DataFrame, small: DataFrame) -> DataFrame:
+        x, y = side(large, "x"), side(small, "y")
+        follow = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+        enough = whole * follow >= percent * (F.col("n_x") + F.col("n_y"))
+        on = (x.key == y.key) & (x["class"] == y["class"]) & (F.col("n_x") >= F.col("n_y")) & (F.col("g_x") != F.col("g_y")) & enough
+        return x.join(y, on).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+    return met(above.where(minor), below).union(met(above.where(~minor), below.where(minor))).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     groups = stage(components(links(likely_pairs(stage(_first_pairs(nodes), "pairs"), nodes)).union(tied)), "groups")
     members = _placed(nodes.select("node", "n", "registers"), groups).select("node", "n", "g", F.explode(_bands()).alias("bucket"))
-    members = stage(_still_open(members), "open")
+    members = stage(_weighted(stage(_still_open(members), "open")), "weighted")
     turn, asked, found = 0, 1, 1
     while asked < WORTHWHILE * found:
         turn += 1
@@ -265,7 +320,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         groups = joined(groups, more)
         members = stage(_still_open(_placed(members.drop("g"), groups)), "open")
         asked, found = pairs.count(), more.count()
-    final = joined(groups, links(_likely_across(members, nodes, percent)))
+    across = _pairs_across(_first_shingles(members, nodes, rows, shingle, percent), percent)
+    final = joined(groups, links(likely_pairs(stage(across, "pairs"), nodes)))
     of_set = nodes.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     found = known.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
