@@ -245,6 +245,15 @@ def test_bpe_equals_the_library(docs, nothing):
     assert bpe.encode_and_decode(nothing, path).count() == 0
 
 
+def test_bpe_keeps_few_pieces(monkeypatch):
+    texts = [f"{a}{b} prose {b}{a}" for a in "abcdefgh" for b in "stuvwxyz"] * 2
+    bpes = [bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json")) for _ in range(2)]
+    expected = [bpes[0].encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    assert [bpes[1].encode(t) for t in texts] == expected
+    assert len(bpes[1].cache) <= 23 < len(bpes[0].cache)
+
+
 def test_bpe_pieces_of_all_letters():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), bpe.ByteBPE(path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from webtrawl.llm.common import CACHE_WORDS, id_text, kept_in_worker, text_chunks
+from webtrawl.llm.common import id_text, kept_in_worker, text_chunks
 
 #: Fixed values of the byte-level vocabulary format: the pattern of its pieces.
 PIECES = regex.compile(
@@ -29,6 +29,8 @@ PIECES = regex.compile(
 )
 #: Longer pieces are merged each time; they hardly repeat.
 CACHED_BYTES = 48
+#: Pieces a worker's cache holds before it is emptied: 20 MB or so.
+CACHE_PIECES = 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -97,7 +99,7 @@ class ByteBPE:
         return packed
 
     def _plain(self, text: str) -> bytes:
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
         known = self.cache.get
         return b"".join([known(p) or self._piece(p) for p in PIECES.findall(text)])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker turns into one output batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Entries a worker's word cache holds before it is emptied.
 CACHE_WORDS = 400_000
 #: Bits of the bitmap that ``among`` gives to every task: 8 MB.
