@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -283,6 +284,42 @@ def test_token_files_round_trip(spark, docs, nothing):
     assert token_files.read_token_files(spark, token_files.write_token_files(nothing, folder + "-none", path, 1)).count() == 0
 
 
+class Recorded:
+    """A tokenizer that keeps the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_word_encoder_joins_letters_and_signs():
+    encode = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    library = encode.tokenizer
+    encode.tokenizer = Recorded(library)
+    texts = ["prose prose. prose, <prose> prose!", None, " \x0b prose, ", "", "prose's proses prose.. prose"]
+    ids, counts = encode(pa.array(texts), np.dtype("<u2"), 1)
+    assert [*np.split(ids, np.cumsum(counts)[:-1])[1]] == [1] and counts.sum() == len(ids)
+    assert ids.tolist() == [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 1]]
+    sent = " ".join(encode.tokenizer.texts).split()
+    assert len(sent) < 20 and sent.count("prose") == 1 and "prose." not in sent and "<prose>" in sent
+
+
+def test_word_encoder_on_all_letters():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, library = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    odd = ["İ.", "A\u0338.", "a.\u0338", "J\u030c.", "<|endoftext|>.", "x<|endoftext|>", "a<|ENDOFTEXT|>", "don't.", "'s.", "a.'s", "ab.|", "|", "a.b."]
+    for start in range(0, len(letters), 4096):
+        some = letters[start : start + 4096]
+        text = " ".join([w for c in some for w in (f"a{c}", f"{c}.)", f"a{c}'")] + odd)
+        ids, counts = encode(pa.array([text]), np.dtype("<u2"), 1)
+        assert ids[:-1].tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(some[0]))
+        assert counts.tolist() == [len(ids)]
+
+
 # --- 6
 
 
