@@ -255,6 +255,28 @@ def test_bpe_keeps_few_pieces(monkeypatch):
     assert len(bpes[1].cache) <= 23 < len(bpes[0].cache)
 
 
+def test_bpe_keeps_pieces_in_use(monkeypatch):
+    """A piece that comes again and again is merged once however many others come between, and
+    one long text does not fill the cache beyond its bound."""
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    own = bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    merged, seen = own.merged, Counter()
+    monkeypatch.setattr(own, "merged", lambda piece: seen.update([piece]) or merged(piece))
+    text = "".join(f" often {a}{b}" for a in "abcdefgh" for b in "stuvwxyz")
+    got = own.encode(text)
+    assert seen[b" often"] == 1 and seen[b" as"] == 1
+    assert len(own.cache) + len(own.older) <= 20
+    assert got == bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json")).encode(text)
+
+
+def test_bpe_decodes_bytes_that_are_no_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = bpe.ByteBPE(path), Tokenizer.from_file(path)
+    ids = np.frombuffer(own.encode("é<|endoftext|>ü x"), "<u4")
+    for cut in (ids[:0], ids, ids[::-1], np.array([own.first[0xC3], own.first[0x20]], "<u4")):
+        assert own.decode(cut.tobytes()) == library.decode(cut.tolist(), skip_special_tokens=False)
+
+
 def test_bpe_pieces_of_all_letters():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), bpe.ByteBPE(path)

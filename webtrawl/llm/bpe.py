@@ -6,8 +6,9 @@ neighbouring pairs. The lowest rank is merged first (the leftmost among equal ra
 new neighbour pairs are pushed, and entries whose symbols have changed meanwhile are skipped
 when they are popped. Decoding joins the byte strings of the vocabulary.
 
-Each Python worker keeps the ids of the short pieces it has met in a bounded cache, so the
-merges run about once per distinct piece and not once per occurrence.
+Each Python worker keeps the ids of the short pieces it has met in a bounded cache of two
+generations: when the newer one is full it becomes the older one, and a piece found there moves
+back. Pieces in use stay, so the merges run about once per distinct piece.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ PIECES = regex.compile(
 )
 #: Longer pieces are merged each time; they hardly repeat.
 CACHED_BYTES = 48
-#: Pieces a worker's cache holds before it is emptied: 20 MB or so.
-CACHE_PIECES = 100_000
+#: Pieces a worker's cache holds, half of them in each generation.
+CACHE_PIECES = 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,10 +52,9 @@ class ByteBPE:
         to_byte = {letter: b for b, letter in byte_letters().items()}
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings: dict[int, bytes] = {
-            i: bytes(to_byte[c] for c in token) for token, i in vocab.items() if token not in self.special
-        }
-        self.strings |= {i: token.encode() for token, i in self.special.items()}
+        strings = {i: bytes(to_byte[c] for c in token) for token, i in vocab.items() if token not in self.special}
+        strings |= {i: token.encode() for token, i in self.special.items()}
+        self.strings = pa.array([strings.get(i) for i in range(max(strings) + 1)], pa.large_binary())
         self.first = [vocab[letter] for _, letter in sorted(byte_letters().items())]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -62,6 +63,7 @@ class ByteBPE:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cuts = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -92,15 +94,19 @@ class ByteBPE:
         return [x for x in ids if x is not None]
 
     def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        packed = array("I", self.merged(raw)).tobytes()
-        if len(raw) <= CACHED_BYTES:
-            self.cache[piece] = packed
+        packed = self.older.get(piece)
+        if packed is None:
+            raw = piece.encode()
+            packed = array("I", self.merged(raw)).tobytes()
+            if len(raw) > CACHED_BYTES:
+                return packed
+        if len(self.cache) >= CACHE_PIECES // 2:
+            self.older = self.cache.copy()
+            self.cache.clear()  # not a new one: ``_plain`` is looking pieces up in it
+        self.cache[piece] = packed
         return packed
 
     def _plain(self, text: str) -> bytes:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
         known = self.cache.get
         return b"".join([known(p) or self._piece(p) for p in PIECES.findall(text)])
 
@@ -115,7 +121,12 @@ class ByteBPE:
         return b"".join([*out, self._plain(text[start:])])
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.strings.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        if not ids:
+            return ""
+        found = self.strings.take(pa.array(np.frombuffer(ids, "<u4")))
+        _, offsets, data = found.buffers()
+        end = np.frombuffer(offsets, np.int64, len(found) + 1)[-1]
+        return str(memoryview(data)[:end], "utf-8", "replace") if end else ""
 
 
 def _loaded(path: str) -> ByteBPE:
