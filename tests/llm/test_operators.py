@@ -492,6 +492,23 @@ def test_katz_without_training(docs):
     assert {r.score for r in got} == {0.0} and {r.n_known for r in got} == {0}
 
 
+def test_katz_sums_of_histories_compress():
+    """Halves of counts, not probabilities: what a batch sends of its histories takes few bytes."""
+    rng = np.random.default_rng(3)
+    codes, n = rng.integers(0, 3000, 40_000).astype(np.int32), 3000
+    row = {"batch": "b", "lengths": np.full(400, 100), "held": np.zeros(400, bool), "words": np.arange(1, n + 1, dtype=np.uint64) << np.uint64(40), "codes": codes}
+    batch = katz.Batch({k: v if k == "batch" else katz.pack(v) for k, v in row.items()})
+    kinds = {katz._WORD: None, katz._PAIR: katz.pack(np.ones(len(batch.left), bool))}
+    answers = [{"kind": k, "part": 0, "numbers": katz.pack(batch.training_counts(k)), "flags": f} for k, f in kinds.items()]
+    half = katz.Discounts.from_counts([0, 1, 0, 0, 0, 0, 0])
+    model = katz.Model(n, len(codes), 400, half, half, 1e-9, 1.0)
+    counts, sums = katz._history_sums(batch, answers, model)
+    assert len(katz.pack(sums)) < 6 * len(sums)
+    at = int(np.flatnonzero(batch.history_order == batch.codes[0])[0])
+    followers = set(batch.codes[np.flatnonzero(batch.codes[:-1] == batch.codes[0]) + 1][(np.flatnonzero(batch.codes[:-1] == batch.codes[0]) + 1) % 100 != 0])
+    assert sums[at].imag == sum(half.kept(np.bincount(batch.codes, minlength=n))[f] for f in followers)
+
+
 def test_good_turing_factors():
     factors = katz.Discounts.from_counts([0, 1000, 300, 140, 80, 50, 35]).factors
     assert all(0 < d < 1 for d in factors) and list(factors) == sorted(factors)

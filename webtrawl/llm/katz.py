@@ -269,13 +269,14 @@ def backoff_weights(taken: np.ndarray, lower: np.ndarray, counts: np.ndarray) ->
     return np.where(counts > 0, alpha, 1.0)
 
 
-def _weigh(asks: pa.Table) -> pa.Table:
+def _weigh(asks: pa.Table, model: Model) -> pa.Table:
     rows = sorted(asks.to_pylist(), key=lambda r: r["batch"])
     keys = [unpack_keys(r["keys"]) for r in rows]
     counts = np.concatenate([unpack(r["numbers"], np.int64) for r in rows])
     sums = np.concatenate([unpack(r["sums"], np.complex128) for r in rows])
     unique, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     taken, lower = (np.bincount(inverse, x, len(unique)) for x in (sums.real, sums.imag))
+    lower *= model.scale / max(1, model.total)  # every follower is a known word
     alpha = backoff_weights(taken, lower, counts[first]).astype(np.float32)
     part, out, at = rows[0]["part"], [], 0
     seen = counts[first] > 0
@@ -292,13 +293,14 @@ def _history_counts(batch: Batch, word_counts: np.ndarray, model: Model) -> np.n
 
 def _history_sums(batch: Batch, answers: list[dict], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the batch's histories, and what its own bigrams take of them: discounted counts
-    as real, lower probabilities as imaginary parts; in the order of the history keys."""
+    as real, the followers' own discounted counts as imaginary parts (lower probabilities but for
+    a factor, with which they would hardly compress); in the order of the history keys."""
     word_counts, _ = batch.answered(answers, _WORD, np.int64)
     pair_counts, owned = batch.answered(answers, _PAIR, np.int64)
     own = np.nonzero(owned)[0]
     n = len(batch.words) + 1
     taken = np.bincount(batch.left[own], model.pair.kept(pair_counts[own]), n)
-    lower = np.bincount(batch.left[own], model.unigram(word_counts[batch.right[own]]), n)
+    lower = np.bincount(batch.left[own], model.word.kept(word_counts[batch.right[own]]), n)
     order = batch.history_order
     return _history_counts(batch, word_counts, model)[order], (taken + 1j * lower)[order]
 
@@ -376,8 +378,9 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     def weight_asks(batch: Batch, rows: list[dict]) -> pa.Table:
         return _rows(_asks(batch, _HISTORY, parts, *_history_sums(batch, rows, model)), _ASK)
 
-    weights = stage(_grouped(_with_answers(made, answers, weight_asks, _ASK), _weigh), "backoff-weights")
-    everything = answers.union(weights.where("what = 'answer'"))
+    weights = stage(_grouped(_with_answers(made, answers, weight_asks, _ASK), lambda asked: _weigh(asked, model)), "backoff-weights")
+    unflagged = answers.withColumn("flags", F.lit(None).cast("binary"))  # owners have done their part
+    everything = unflagged.union(weights.where("what = 'answer'"))
     scores = _with_answers(made, everything, lambda batch, rows: _evaluate(batch, rows, model), _SCORE)
     return scores.withColumn("train_tokens", F.lit(model.total).cast("long"))
 
