@@ -4,10 +4,13 @@ Edge rows of documents: null, empty, blank and very long texts, repeated rows, a
 special signs, and an extra column with a clashing name.
 """
 
+import contextlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -509,6 +512,50 @@ def test_katz_sums_of_histories_compress():
     assert sums[at].imag == sum(half.kept(np.bincount(batch.codes, minlength=n))[f] for f in followers)
 
 
+def test_katz_waits_only_for_weights(spark, monkeypatch):
+    """Histories whose followers are all frequent, before known and unknown bigrams, in batches of their own."""
+    monkeypatch.setattr(katz, "TOKENS_PER_BATCH", 40)
+    odd = ["a c", "b zz a b", "zz a", "", None, "b b b a b c", "c c a"]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    texts = [odd[i % 7] if held(i) else "a b c" if i % 40 else "d e f" for i in range(140)]
+    df = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)
+    expected, _ = katz_by_force(list(enumerate(texts)), held)
+    assert set(odd) < set(texts)
+    got = katz.katz_scores(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(140))
+    for r in got.collect():
+        want = expected[r.doc_id, (*tokens_of(texts[r.doc_id]), b"end ")]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), *want[:3])
+        assert abs(r.base_score - want[3]) < 1e-9 and abs(r.score - want[4]) < 1e-5 * abs(want[4]), texts[r.doc_id]
+
+
+def shuffle_files(spark):
+    """Bytes of the shuffle files that are there now, by name."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    found = {}
+    for p in (p for f in folders for p in Path(f).rglob("shuffle_*")):
+        with contextlib.suppress(FileNotFoundError):
+            found[p.name] = p.stat().st_size
+    return found
+
+
+def test_katz_leaves_little_on_disk(spark, monkeypatch):
+    """The last step reads neither tokens nor counts again, and the files of earlier shuffles are gone by then."""
+    monkeypatch.setattr(katz, "TOKENS_PER_BATCH", 20_000)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 200) % 50_000), "", 1) for i in range(1000)]
+    before = set(shuffle_files(spark))
+    got = katz.katz_scores(spark.createDataFrame(rows, SCHEMA), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+    for _ in range(100):  # files go a moment later
+        left = sum(size for name, size in shuffle_files(spark).items() if name not in before)
+        if left < 100_000:
+            break
+        time.sleep(0.1)
+    assert left < 100_000
+    assert got.count() == 1000
+    assert all("/backoff-weights-" in f for f in got.inputFiles())
+
+
 def test_good_turing_factors():
     factors = katz.Discounts.from_counts([0, 1000, 300, 140, 80, 50, 35]).factors
     assert all(0 < d < 1 for d in factors) and list(factors) == sorted(factors)

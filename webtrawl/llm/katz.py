@@ -15,8 +15,12 @@ answers in the order asked:
    them into the stored count tables and answer with the totals. The first batch that holds a
    training bigram is named its owner.
 2. Owners send, per history, what their bigrams take of its mass. Partitions sum that into the
-   stored backoff weights and answer.
-3. Each batch evaluates its tokens.
+   stored backoff weights and answer where a batch wants the weight.
+3. Each batch completes its scores.
+
+A batch meets its counts once, in step 2. It evaluates all that does not depend on backoff weights
+there, and what is left (a few numbers per document, and the histories of bigrams not seen in
+training) goes on beside the sums, through the same shuffle. So the tokens are shuffled once.
 
 Frequent n-grams are one entry per batch, so no key is hot. The number of partitions follows the
 number of tokens, so a partition has a bounded number of entries.
@@ -47,9 +51,11 @@ END = xxhash.xxh3_64_intdigest(b"end of text")
 START = xxhash.xxh3_64_intdigest(b"start of text")
 
 _BATCH = "batch string, doc_ids binary, no_id binary, held binary, lengths binary, words binary, codes binary, tokens long"
-_ASK = "part int, batch string, kind int, keys binary, numbers binary, sums binary"
+_ASK = "part int, batch string, kind int, keys binary, numbers binary"
 _ANSWER = "what string, part int, batch string, kind int, keys binary, numbers binary, flags binary, known long, total long, ones array<long>"
-_WORD, _PAIR, _HISTORY = 1, 2, 3
+_SUMS = "part int, batch string, kind int, keys binary, numbers binary, sums binary, wanted binary, rest array<binary>"
+_WEIGHTS = "what string, part int, batch string, kind int, keys binary, numbers binary, rest array<binary>"
+_WORD, _PAIR, _HISTORY, _REST = 1, 2, 3, 4
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -150,9 +156,9 @@ class Batch:
         return np.bincount(codes, self.training, n).astype(np.int64)[order]
 
     def answered(self, answers: list[dict], kind: int, dtype) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and flags per word, bigram or history code from the partitions' answers."""
+        """Numbers and flags per word or bigram code from the partitions' answers."""
         own = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["part"])
-        order = {_WORD: self.word_order, _PAIR: self.pair_order, _HISTORY: self.history_order}[kind]
+        order = {_WORD: self.word_order, _PAIR: self.pair_order}[kind]
         numbers, flags = np.zeros(len(order), dtype), np.zeros(len(order), bool)
         numbers[order] = np.concatenate([unpack(a["numbers"], dtype) for a in own])
         if own[0]["flags"] is not None:
@@ -160,26 +166,19 @@ class Batch:
         return numbers, flags
 
 
-def _asks(batch: Batch, kind: int, parts: int, numbers: np.ndarray, sums: np.ndarray | None) -> Iterator[dict]:
+def _asks(batch: Batch, kind: int, parts: int, keys: np.ndarray, **columns: np.ndarray) -> Iterator[dict]:
     """One row per partition that holds some of the keys."""
-    keys = batch.keys[kind]
     bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
     cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
     for part in range(parts):
         a, b = cuts[part], cuts[part + 1]
         if a < b:
-            yield {
-                "part": part,
-                "batch": batch.name,
-                "kind": kind,
-                "keys": pack_keys(keys[a:b]),
-                "numbers": pack(numbers[a:b]),
-                "sums": None if sums is None else pack(sums[a:b]),
-            }
+            packed = {name: pack(values[a:b]) for name, values in columns.items()}
+            yield {"part": part, "batch": batch.name, "kind": kind, "keys": pack_keys(keys[a:b]), **packed}
 
 
 def _rows(rows, schema: str) -> pa.Table:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary()), "double": pa.float64(), "boolean": pa.bool_()}
     fields = [f.split(" ") for f in schema.split(", ")]
     return pa.Table.from_pylist(list(rows), schema=pa.schema([(name, kinds[kind]) for name, kind in fields]))
 
@@ -270,7 +269,13 @@ def backoff_weights(taken: np.ndarray, lower: np.ndarray, counts: np.ndarray) ->
 
 
 def _weigh(asks: pa.Table, model: Model) -> pa.Table:
-    rows = sorted(asks.to_pylist(), key=lambda r: r["batch"])
+    """Weights of one partition: its part of the table, and an answer to each batch that wants
+    some. What is left of batches passes."""
+    found = sorted(asks.to_pylist(), key=lambda r: r["batch"])
+    out = [{"what": "rest", "part": r["part"], "batch": r["batch"], "rest": r["rest"]} for r in found if r["kind"] == _REST]
+    rows = [r for r in found if r["kind"] == _HISTORY]
+    if not rows:
+        return _rows(out, _WEIGHTS)
     keys = [unpack_keys(r["keys"]) for r in rows]
     counts = np.concatenate([unpack(r["numbers"], np.int64) for r in rows])
     sums = np.concatenate([unpack(r["sums"], np.complex128) for r in rows])
@@ -278,13 +283,15 @@ def _weigh(asks: pa.Table, model: Model) -> pa.Table:
     taken, lower = (np.bincount(inverse, x, len(unique)) for x in (sums.real, sums.imag))
     lower *= model.scale / max(1, model.total)  # every follower is a known word
     alpha = backoff_weights(taken, lower, counts[first]).astype(np.float32)
-    part, out, at = rows[0]["part"], [], 0
+    part, at = rows[0]["part"], 0
     seen = counts[first] > 0
     out.append({"what": "table", "part": part, "kind": _HISTORY, "keys": pack_keys(unique[seen]), "numbers": pack(alpha[seen])})
     for row, k in zip(rows, keys, strict=True):
-        out.append({"what": "answer", "part": part, "batch": row["batch"], "kind": _HISTORY, "numbers": pack(alpha[inverse[at : at + len(k)]])})
+        wanted = unpack(row["wanted"], np.bool_)
+        if wanted.any():
+            out.append({"what": "answer", "part": part, "batch": row["batch"], "kind": _HISTORY, "numbers": pack(alpha[inverse[at : at + len(k)][wanted]])})
         at += len(k)
-    return _rows(out, _ANSWER)
+    return _rows(out, _WEIGHTS)
 
 
 def _history_counts(batch: Batch, word_counts: np.ndarray, model: Model) -> np.ndarray:
@@ -305,49 +312,122 @@ def _history_sums(batch: Batch, answers: list[dict], model: Model) -> tuple[np.n
     return _history_counts(batch, word_counts, model)[order], (taken + 1j * lower)[order]
 
 
-_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+@dataclass(frozen=True)
+class Rest:
+    """What is left of a batch when its counts are known. Per document: the numbers of its row,
+    ``sure`` (the score but for backoff weights) and ``open``, how many of its tokens wait for the
+    weight of their history. Per such token: ``history``, a place among the ``counts`` of the
+    histories waited for, in the order of their keys, and ``seen``, whether the bigram is known."""
+
+    doc_ids: np.ndarray
+    no_id: np.ndarray
+    held: np.ndarray
+    lengths: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    sure: np.ndarray
+    open: np.ndarray
+    history: np.ndarray
+    seen: np.ndarray
+    counts: np.ndarray
+
+    def packed(self) -> list[bytes]:
+        return [pack(getattr(self, name)) for name in _REST_TYPES]
 
+    @staticmethod
+    def unpacked(columns: list[bytes]) -> Rest:
+        return Rest(*(unpack(c, t) for c, t in zip(columns, _REST_TYPES.values(), strict=True)))
+
+
+_REST_TYPES = {
+    "doc_ids": np.int64, "no_id": np.bool_, "held": np.bool_, "lengths": np.int64, "known": np.int64, "base": np.float64,
+    "sure": np.float64, "open": np.int64, "history": np.int32, "seen": np.bool_, "counts": np.int64,
+}
 
-def _evaluate(batch: Batch, answers: list[dict], model: Model) -> pa.Table:
+
+def _rest(batch: Batch, answers: list[dict], model: Model) -> tuple[Rest, np.ndarray]:
+    """What is left of the batch, and which of its histories, in the order of their keys, have to
+    be weighed for that. A known bigram waits where the batch's own bigrams do not show that its
+    history has a discounted follower, an unknown one where its history was seen at all."""
     word_counts, _ = batch.answered(answers, _WORD, np.int64)
     pair_counts, _ = batch.answered(answers, _PAIR, np.int64)
-    alpha, _ = batch.answered(answers, _HISTORY, np.float32)
-    histories = _history_counts(batch, word_counts, model)[batch.left]
-    weight = alpha.astype(float)[batch.left]
-    lower = model.unigram(word_counts[batch.right])
-    whole = np.maximum(histories + (weight < 0), 1)
-    seen = model.pair.kept(pair_counts) / whole
-    probability = np.log10(np.where(pair_counts > 0, seen, np.abs(weight) * lower))
+    counts = _history_counts(batch, word_counts, model)
+    histories, kept = counts[batch.left], model.pair.kept(pair_counts)
+    known = pair_counts > 0
+    free = np.bincount(batch.left, pair_counts - kept, len(counts)) / np.maximum(counts, 1)
+    waits = np.where(known, free[batch.left] < 1e-9, histories > 0)
+    wanted = np.zeros(len(counts), bool)
+    wanted[batch.left[waits]] = True
+    wanted_keys = wanted[batch.history_order]
+    place = np.zeros(len(counts), np.int32)
+    place[batch.history_order[wanted_keys]] = np.arange(wanted_keys.sum(), dtype=np.int32)
+
+    sure = np.log10(np.where(known, kept / np.maximum(histories, 1), model.unigram(word_counts[batch.right])))
     base = np.log10((word_counts + 0.5) / (model.total + 0.5 * (model.known + 1)))
     document = np.repeat(np.arange(len(batch.lengths)), batch.lengths)
-    n = len(batch.lengths)
-    per_document = lambda values: np.bincount(document, values, n)
+    per_document = lambda values: np.bincount(document, values, len(batch.lengths))
+    waiting = waits[batch.pair_of]
+    pairs = batch.pair_of[waiting]
+    rest = Rest(
+        doc_ids=unpack(batch.row["doc_ids"], np.int64),
+        no_id=unpack(batch.row["no_id"], np.bool_),
+        held=batch.held,
+        lengths=batch.lengths,
+        known=per_document(word_counts[batch.codes] > 0).astype(np.int64),
+        base=per_document(base[batch.codes]),
+        sure=per_document(sure[batch.pair_of]),
+        open=per_document(waiting).astype(np.int64),
+        history=place[batch.left[pairs]],
+        seen=known[pairs],
+        counts=counts[batch.history_order[wanted_keys]],
+    )
+    return rest, wanted_keys
+
+
+def _sums_and_rest(batch: Batch, answers: list[dict], model: Model, parts: int) -> Iterator[dict]:
+    """To each partition the batch's sums of its histories, and to one what is left of the batch."""
+    counts, sums = _history_sums(batch, answers, model)
+    rest, wanted = _rest(batch, answers, model)
+    sent = wanted | (sums.real > 0)
+    yield from _asks(batch, _HISTORY, parts, batch.keys[_HISTORY][sent], numbers=counts[sent], sums=sums[sent], wanted=wanted[sent])
+    yield {"part": xxhash.xxh3_64_intdigest(batch.name) % parts, "batch": batch.name, "kind": _REST, "rest": rest.packed()}
+
+
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _completed(rest: Rest, answers: list[dict]) -> pa.Table:
+    own = sorted(answers, key=lambda a: a["part"])
+    alpha = np.concatenate([np.zeros(0), *(unpack(a["numbers"], np.float32).astype(float) for a in own)])
+    # of a known bigram: one more in the history's count where that has no discounted follower
+    more = np.where(alpha < 0, np.log10(rest.counts / (rest.counts + 1.0)), 0.0)
+    tokens = np.where(rest.seen, more[rest.history], np.log10(np.abs(alpha))[rest.history])
+    n = len(rest.lengths)
     return pa.table(
         {
-            "doc_id": pa.array(unpack(batch.row["doc_ids"], np.int64), mask=unpack(batch.row["no_id"], np.bool_)),
-            "held_out": pa.array(batch.held),
-            "n_tokens": pa.array(batch.lengths),
-            "n_known": pa.array(per_document(word_counts[batch.codes] > 0).astype(np.int64)),
-            "base_score": pa.array(per_document(base[batch.codes])),
-            "score": pa.array(per_document(probability[batch.pair_of])),
+            "doc_id": pa.array(rest.doc_ids, mask=rest.no_id),
+            "held_out": pa.array(rest.held),
+            "n_tokens": pa.array(rest.lengths),
+            "n_known": pa.array(rest.known),
+            "base_score": pa.array(rest.base),
+            "score": pa.array(rest.sure + np.bincount(np.repeat(np.arange(n), rest.open), tokens, n)),
         }
     )
 
 
-def _with_answers(made: DataFrame, answers: DataFrame, use: Callable[[Batch, list[dict]], pa.Table], schema: str) -> DataFrame:
+def _with_answers(asking: DataFrame, answers: DataFrame, use: Callable[[dict, list[dict]], pa.Table], schema: str) -> DataFrame:
     def run(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
-        return pa.concat_tables([use(Batch(row), rows) for row in left.to_pylist()])
+        return pa.concat_tables([use(row, rows) for row in left.to_pylist()])
 
-    columns = answers.select("batch", "part", "kind", "numbers", "flags")
-    return made.groupBy("batch").cogroup(columns.groupBy("batch")).applyInArrow(run, schema)
+    return asking.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
 
 
-def _grouped(asks: DataFrame, use: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def _grouped(asks: DataFrame, use: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     def run(_key: tuple, asked: pa.Table) -> pa.Table:
         return use(asked)
 
-    return asks.groupBy("part").applyInArrow(run, _ANSWER)
+    return asks.groupBy("part").applyInArrow(run, schema)
 
 
 def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,20 +448,17 @@ def katz_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             for row in frame.to_pylist():
                 batch = Batch(row)
                 for kind in (_WORD, _PAIR):
-                    for ask in _asks(batch, kind, parts, batch.training_counts(kind), None):
+                    for ask in _asks(batch, kind, parts, batch.keys[kind], numbers=batch.training_counts(kind)):
                         yield from _rows([ask], _ASK).to_batches()
 
-    counted = stage(_grouped(made.mapInArrow(count_asks, _ASK), _count), "ngram-counts")
+    counted = stage(_grouped(made.mapInArrow(count_asks, _ASK), _count, _ANSWER), "ngram-counts", drop_shuffles=True)
     model = _model(counted, docs, held_out, id_col)
-    answers = counted.where("what = 'answer'")
-
-    def weight_asks(batch: Batch, rows: list[dict]) -> pa.Table:
-        return _rows(_asks(batch, _HISTORY, parts, *_history_sums(batch, rows, model)), _ASK)
-
-    weights = stage(_grouped(_with_answers(made, answers, weight_asks, _ASK), lambda asked: _weigh(asked, model)), "backoff-weights")
-    unflagged = answers.withColumn("flags", F.lit(None).cast("binary"))  # owners have done their part
-    everything = unflagged.union(weights.where("what = 'answer'"))
-    scores = _with_answers(made, everything, lambda batch, rows: _evaluate(batch, rows, model), _SCORE)
+    answers = counted.where("what = 'answer'").select("batch", "part", "kind", "numbers", "flags")
+    sums = _with_answers(made, answers, lambda row, rows: _rows(_sums_and_rest(Batch(row), rows, model, parts), _SUMS), _SUMS)
+    weights = stage(_grouped(sums, lambda asked: _weigh(asked, model), _WEIGHTS), "backoff-weights", drop_shuffles=True)
+    left = weights.where("what = 'rest'").select("batch", "rest")
+    weighed = weights.where("what = 'answer'").select("batch", "part", "numbers")
+    scores = _with_answers(left, weighed, lambda row, rows: _completed(Rest.unpacked(row["rest"]), rows), _SCORE)
     return scores.withColumn("train_tokens", F.lit(model.total).cast("long"))
 
 
