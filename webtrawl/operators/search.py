@@ -7,6 +7,8 @@ words must match, the documents of the rarest word are found first and the posti
 words are only kept for these.
 """
 
+from collections.abc import Callable
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,9 @@ from webtrawl.operators.search_index import (
     SearchIndex,
     build_postings,
     create_index,
+    head_of,
     near_keys,
+    starting_with,
     stem_words,
     word_keys,
 )
@@ -36,6 +40,8 @@ FUZZY_BOOSTS = {
 }
 HIT_COLUMNS = ["url", "title", "metaDescription", "ogTitle", "ogDescription", "domain"]
 K1, B = 1.2, 0.75
+#: Words of queries that are looked for as prefixes in the postings; more are looked up by the terms they cover.
+FEW_WORDS = 10_000
 #: Places beyond which two words do not count as near each other.
 PLACES = 100
 
@@ -115,7 +121,7 @@ def _ranked(scores: DataFrame, index: SearchIndex, k: int, extra: list[str] | No
     """The ``k`` best documents per query of ``(query_id, doc, score)`` with their columns; ties by
     url. The k-th score comes first, cut to ``k`` rows per query and task before the shuffle; urls
     are looked up for the documents that reach it, and a second cut orders those that tie."""
-    scores = stage(scores, "scores")
+    scores = stage(scores, "scores", drop_shuffles=True)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     first = scores.withColumn("_rn_", F.row_number().over(best)).filter(F.col("_rn_") <= k)
     least = first.groupBy("query_id").agg(F.min("score").alias("_least_"))
@@ -123,42 +129,33 @@ def _ranked(scores: DataFrame, index: SearchIndex, k: int, extra: list[str] | No
     docs = index.docs()
     wanted = [*HIT_COLUMNS, *(extra or [])]
     have = [F.col(c) if c in docs.columns else F.lit("").alias(c) for c in wanted]
-    named = stage(top_hits(close.join(docs.select("doc", "url"), "doc"), k), "named").drop("url")
+    named = stage(top_hits(close.join(docs.select("doc", "url"), "doc"), k), "named", drop_shuffles=True).drop("url")
     return named.join(docs.select("doc", *have), "doc").select("query_id", *wanted, "score")
 
 
 def expand_prefixes(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
-    """``(word, term)`` for every vocabulary term that starts with a word. Only prefixes as long
-    as some word are made."""
-    lengths = words.agg(F.collect_set(F.length("word")).alias("n")).scalar()
-    prefixes = F.transform(
-        F.filter("_lengths_", lambda n: n <= F.length("term")),
-        lambda n: F.substring(F.col("term"), F.lit(1), n),
-    )
-    vocabulary = vocabulary.select("term", lengths.alias("_lengths_"))
-    return vocabulary.select("term", F.explode(prefixes).alias("word")).join(words, "word").select(
-        "word", "term"
-    )
+    """``(word, term)`` for every vocabulary term that starts with a word."""
+    return starting_with(vocabulary.select("term"), words).select("word", "term")
 
 
-def matching_all(postings: DataFrame, wanted: DataFrame, expanded: DataFrame) -> DataFrame:
+def matching_all(postings: DataFrame | Callable[[DataFrame], DataFrame], wanted: DataFrame, expanded: DataFrame | None) -> DataFrame:
     """The postings of the documents that may hold all words of a query: ``query_id, word`` and the
-    columns of ``postings``. ``wanted`` is ``(query_id, word, n)`` with the number of documents
-    that hold the word, ``expanded`` the ``(word, term)`` pairs.
+    columns of ``postings``, which may be a function that gives those of a table of terms, or without
+    ``expanded`` those of a table of words, with its other columns. ``wanted`` is ``(query_id, word, n)`` with the number of documents that hold
+    the word, ``expanded`` the ``(word, term)`` pairs.
 
     Each query starts from its rarest word. The others' postings are looked up by (word, document)
     and only those of documents found so far go on; a frequent word's list is never grouped.
     """
     by_n = W.partitionBy("query_id").orderBy("n", "word")
-    ordered = stage(wanted.withColumn("_at_", F.row_number().over(by_n)), "ordered")
+    ordered = stage(wanted.withColumn("_at_", F.row_number().over(by_n)), "ordered", drop_shuffles=True)
     lead = ordered.filter(F.col("_at_") == 1).select("query_id", "word")
     rest = ordered.filter(F.col("_at_") > 1).select("query_id", "word")
-    first = stage(
-        postings.join(expanded.join(lead, "word"), "term").select("query_id", "word", *postings.columns), "lead"
-    )
+    look = (lambda terms: postings.join(terms, "term")) if isinstance(postings, DataFrame) else postings
+    of = lambda words: look(words if expanded is None else expanded.join(words, "word"))
+    first = stage(of(lead), "lead", drop_shuffles=True)
     asked = rest.join(first.select("query_id", "doc").distinct(), "query_id")
-    terms = expanded.join(rest.select("word").distinct(), "word", "left_semi")
-    others = postings.join(terms, "term").join(asked, ["word", "doc"])
+    others = of(rest.select("word").distinct()).join(asked, ["word", "doc"])
     return first.unionByName(others.select(first.columns))
 
 
@@ -169,7 +166,7 @@ def _document_counts(index: SearchIndex, words: DataFrame, expanded: DataFrame)
     long = expanded.filter(F.length("word") > PREFIX_LETTERS)
     if long.isEmpty():
         return counted
-    return counted.unionByName(index.document_postings(long).join(long, "term").groupBy("word").agg(F.count_distinct("doc").alias("n")))
+    return counted.unionByName(index.document_postings(long).groupBy("word").agg(F.count_distinct("doc").alias("n")))
 
 
 def search_prefix(index: SearchIndex, queries: DataFrame, k: int = HITS_PER_QUERY) -> DataFrame:
@@ -180,13 +177,14 @@ def search_prefix(index: SearchIndex, queries: DataFrame, k: int = HITS_PER_QUER
     """
     every = query_words(queries).groupBy("query_id", "word").agg(F.count("*").alias("times"))
     words = stage(every, "words")
-    expanded = stage(expand_prefixes(index.vocabulary(), words.select("word").distinct()), "expanded")
+    expanded = stage(expand_prefixes(index.vocabulary(), words.select("word").distinct()), "expanded", drop_shuffles=True)
     counts = _document_counts(index, words.select("word").distinct(), expanded)
     known = words.join(counts, "word", "left").withColumn(
         "words", F.count("*").over(W.partitionBy("query_id"))
     ).withColumn("known", F.count("n").over(W.partitionBy("query_id")))
     known = stage(known.filter(F.col("words") == F.col("known")).drop("known"), "known")
-    found = matching_all(index.document_postings(), known.select("query_id", "word", "n"), expanded).groupBy("query_id", "doc", "word").agg(
+    few = known.count() <= FEW_WORDS
+    found = matching_all(index.document_postings, known.select("query_id", "word", "n"), None if few else expanded).groupBy("query_id", "doc", "word").agg(
         F.sum("tf").alias("f"), F.max("doc_len").alias("dl")
     )
     whole = index.field_counts().filter(F.col("field") == "")
@@ -227,7 +225,7 @@ def search_stemmed(index: SearchIndex | DataFrame, queries: DataFrame, k: int =
     expanded = stage(
         index.vocabulary().filter(~F.col("term").isin(*STOP_WORDS)).withColumnRenamed("stem", "word")
         .join(wanted.select("word").distinct(), "word").select("word", "term"),
-        "stem_terms",
+        "stem_terms", drop_shuffles=True,
     )
     in_phrase = F.col("field").isin(index.phrase_fields)
     dfs = index.terms().filter(in_phrase).join(expanded, "term").groupBy("word").agg(F.sum("df").alias("n"))
@@ -235,7 +233,7 @@ def search_stemmed(index: SearchIndex | DataFrame, queries: DataFrame, k: int =
     known = known.withColumn("known", F.count("n").over(W.partitionBy("query_id")))
     known = stage(known.filter(F.col("words") == F.col("known")).drop("known"), "known")
     found = (
-        matching_all(index.phrase_postings(), known.select("query_id", "word", "n"), expanded)
+        matching_all(index.phrase_postings, known.select("query_id", "word", "n"), expanded)
         .groupBy("query_id", "doc")
         .agg(F.collect_list(F.struct("word", "at")).alias("_m_"))
         .join(known.groupBy("query_id").agg(F.max("words").alias("words")), "query_id")
@@ -281,17 +279,19 @@ def allowed_edits(word) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
-def expand_fuzzy(near: DataFrame, words: DataFrame) -> DataFrame:
+def expand_fuzzy(vocabulary: DataFrame, words: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """``(word, term, dist)`` for all pairs within the word's allowed edits (exact). ``near`` has
-    the terms by their deletion keys, or the terms only."""
-    near = near if "key" in near.columns else near_keys(near)
+    the first letters of the vocabulary's terms by their deletion keys, if they are stored."""
+    terms = vocabulary.select("term", head_of("term").alias("head")).distinct()
+    if near is None:
+        near = near_keys(terms.select(F.col("head").alias("term")).distinct()).withColumnRenamed("term", "head")
     keyed = word_keys(words).withColumn("e", allowed_edits("word")).filter(F.col("edits") <= F.col("e")).select("word", "e", "key")
     distance = F.levenshtein("word", "term", 2)
+    # Heads near a word are few next to the vocabulary; as a table, their size decides the join strategy.
+    heads = near.join(keyed, "key").filter(F.col("edits") <= F.col("e")).select("word", "e", "head").distinct()
     return (
-        near.join(keyed, "key")
-        .filter((F.col("edits") <= F.col("e")) & (F.abs(F.length("word") - F.length("term")) <= F.col("e")))
-        .select("word", "term", "e")
-        .distinct()
+        terms.join(stage(heads, "heads", drop_shuffles=True), "head")
+        .filter(F.abs(F.length("word") - F.length("term")) <= F.col("e"))
         .select("word", "term", "e", distance.alias("dist"))
         .filter((F.col("dist") >= 0) & (F.col("dist") <= F.col("e")))
         .select("word", "term", "dist")
@@ -308,7 +308,7 @@ def search_fuzzy(
     """
     boosts = {f: b for f, b in (boosts or FUZZY_BOOSTS).items() if f in index.fields}
     words = stage(query_words(queries), "words")
-    expanded = expand_fuzzy(index.near(), words.select("word").distinct())
+    expanded = expand_fuzzy(index.vocabulary(), words.select("word").distinct(), index.near())
     shorter = F.least(F.length("word"), F.length("term"))
     similarity = 1.0 - F.col("dist") / shorter
     boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
@@ -319,10 +319,10 @@ def search_fuzzy(
     weighted = stage(
         index.terms().filter(F.col("field").isin(list(boosts))).join(by_term, "term").join(F.broadcast(fields), "field")
         .select("query_id", "term", "field", "avg_len", (boost * idf * F.col("weight")).alias("weight")),
-        "query_terms",
+        "query_terms", drop_shuffles=True,
     )
     part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len")))
-    postings = index.postings(terms=weighted, columns=["term", "field", "doc", "tf", "field_len"])
+    postings = index.postings(terms=weighted.select("term").distinct(), columns=["term", "field", "doc", "tf", "field_len"])
     scored = postings.join(weighted, ["term", "field"]).select("query_id", "doc", "field", (F.col("weight") * part).alias("s"))
     # One sum per field side by side: a single shuffle gives the best field of each document.
     sums = [F.sum(F.when(F.col("field") == f, F.col("s"))).alias(f"_{f}_") for f in boosts]
